@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, warc
+from . import decontaminate, language_id, mixing, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
         "op5_sharding": sharding.op5_sharding,
+        "op6_language_id": language_id.op6_language_id,
         "op9_mixing": mixing.op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL}
