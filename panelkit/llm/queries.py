@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, mixing, sharding, warc
+from . import decontaminate, language_id, mixing, quality, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_quality": quality.op3_quality,
         "op5_sharding": sharding.op5_sharding,
         "op6_language_id": language_id.op6_language_id,
         "op9_mixing": mixing.op9_mixing,
