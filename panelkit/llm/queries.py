@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, mixing, quality, sharding, warc
+from . import decontaminate, language_id, mixing, quality, sharding, substring, warc
 
 
 def queries() -> dict:
@@ -13,8 +13,9 @@ def queries() -> dict:
         "op5_sharding": sharding.op5_sharding,
         "op6_language_id": language_id.op6_language_id,
         "op9_mixing": mixing.op9_mixing,
+        "op10_substring": substring.op10_substring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op10_substring": substring.OP10_SQL}
