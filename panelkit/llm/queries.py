@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, mixing, quality, sharding, substring, warc
+from . import decontaminate, language_id, minhash, mixing, quality, sharding, substring, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_warc": warc.op1_warc,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_quality": quality.op3_quality,
+        "op4_minhash": minhash.op4_minhash,
         "op5_sharding": sharding.op5_sharding,
         "op6_language_id": language_id.op6_language_id,
         "op9_mixing": mixing.op9_mixing,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op10_substring": substring.OP10_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op4_minhash": minhash.OP4_SQL, "op10_substring": substring.OP10_SQL}

@@ -30,17 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _tokens as tk
+from ._bitmap import marked
 from ._work import keep
 
 WINDOW, ANCHOR = 35, 16
 #: Words of a shard, within which repeats are settled before a shuffle, and bytes tokenized at once.
 SHARD_WORDS, SLICE_BYTES = 1_000_000, 4 << 20
-#: Bits of the document bitmap: 2**26 are 8 MB.
-BITMAP_BITS = 26
 #: Rows of one pass of the sliding minimum.
 _STEP = 1 << 16
 
@@ -112,15 +111,6 @@ def _repeated(routed: DataFrame) -> DataFrame:
     return met.where("place <= -2 OR (place >= 0 AND n > 1)").select("k", F.when(F.col("place") < 0, -2 - F.col("place")).otherwise(F.col("place")).cast("int").alias("place"))
 
 
-def _bit(key: Column) -> Column:
-    return F.pmod(key, F.lit(1 << BITMAP_BITS))
-
-
-def _bitmap(keys: DataFrame) -> DataFrame:
-    """The keys as bits: at most 2**(BITMAP_BITS - 15) rows of 4 KB."""
-    return keys.select(_bit(F.col("k")).alias("b")).groupBy(F.expr("b div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("b") % 32768).alias("bits"))
-
-
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans (removed words, merged, end exclusive), kept (the text that is left)."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
@@ -160,15 +150,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
                 yield _cut(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], batch.column("doc_id").slice(lo, hi - lo), found.slice(lo, hi - lo), window)
 
     seeded = keep(_repeated(own.select("k", "text").mapInArrow(seeds, _ROUTED)).groupBy("k").agg(F.collect_list("place").alias("places")), "substring-seeds")
-    bits = F.broadcast(_bitmap(seeded))
-    marked = own.withColumns({"part": F.expr(f"pmod(k, {1 << BITMAP_BITS}L) div 32768"), "bit": F.pmod("k", F.lit(32768))}).join(bits, "part", "left")
-    octet = F.conv(F.hex(F.substr("bits", (F.expr("bit div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    marked = marked.withColumn("seeded", F.coalesce(F.expr("bits IS NOT NULL") & (F.getbit(octet, (F.col("bit") % 8).cast("int")) == 1), F.lit(False)))
-    moved = marked.where("seeded").select("doc_id", "text", "k")
+    both = marked(own, F.col("k"), seeded, "k", "seeded")
+    moved = both.where("seeded").select("doc_id", "text", "k")
     extended = _repeated(moved.join(seeded, "k").select("k", "text", "places").mapInArrow(extend, _ROUTED))
     spans = extended.groupBy("k").agg(F.collect_list("place").alias("places"))
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<begin: long, end: long>>, kept string"
-    whole = marked.where("NOT seeded").select("doc_id", "text", F.array().cast("array<int>").alias("places"))
+    whole = both.where("NOT seeded").select("doc_id", "text", F.array().cast("array<int>").alias("places"))
     partly = moved.join(spans, "k", "left").select("doc_id", "text", F.coalesce("places", F.array().cast("array<int>")).alias("places"))
     return whole.mapInArrow(cut, schema).unionByName(partly.mapInArrow(cut, schema))
 
