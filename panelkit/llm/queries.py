@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, minhash, mixing, quality, sharding, substring, warc
+from . import decontaminate, embedding, language_id, minhash, mixing, quality, sharding, substring, warc
 
 
 def queries() -> dict:
@@ -13,10 +13,11 @@ def queries() -> dict:
         "op4_minhash": minhash.op4_minhash,
         "op5_sharding": sharding.op5_sharding,
         "op6_language_id": language_id.op6_language_id,
+        "op8_embedding": embedding.op8_embedding,
         "op9_mixing": mixing.op9_mixing,
         "op10_substring": substring.op10_substring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op4_minhash": minhash.OP4_SQL, "op10_substring": substring.OP10_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op4_minhash": minhash.OP4_SQL, "op8_embedding": embedding.OP8_SQL, "op10_substring": substring.OP10_SQL}
