@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding, language_id, minhash, mixing, quality, sharding, substring, warc
+from . import decontaminate, embedding, language_id, minhash, mixing, quality, secrets, sharding, substring, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_minhash": minhash.op4_minhash,
         "op5_sharding": sharding.op5_sharding,
         "op6_language_id": language_id.op6_language_id,
+        "op7_secrets": secrets.op7_secrets,
         "op8_embedding": embedding.op8_embedding,
         "op9_mixing": mixing.op9_mixing,
         "op10_substring": substring.op10_substring,
