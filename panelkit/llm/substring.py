@@ -39,7 +39,7 @@ from ._work import keep
 
 WINDOW, ANCHOR = 35, 16
 #: Words of a shard, within which repeats are settled before a shuffle, and bytes tokenized at once.
-SHARD_WORDS, SLICE_BYTES = 1_000_000, 4 << 20
+SHARD_WORDS, SLICE_BYTES = 400_000, 2 << 20
 #: Rows of one pass of the sliding minimum.
 _STEP = 1 << 16
 
