@@ -10,9 +10,10 @@ many sets retain them, rarest first, such a pair shares one of the first ``k - s
 very many documents retain (a common line or passage) are only entered by documents that consist of such values.
 
 Lists aren't paired up. First each set meets one leader: of the sets that lead its lists (those whose values are retained
-most often, so the middle of a family of copies) the one that it meets most often. The links found give components.
-Then only sets of one list which are in different components meet; in long lists they must share a second value.
-Union-sketch estimates drop pairs, and the full sets confirm the rest: ``100 * intersection >= 75 * union``.
+most often, so the middle of a family of copies) the one that it meets most often. Union-sketch estimates drop pairs, and the full sets confirm the rest:
+``100 * intersection >= 75 * union``. The links found give components.
+Sets of one list that are still in different components are settled without sketches, as these can't tell the edge of a
+family from its middle: their full sets are joined on the rarest shingles (``linked_across``), and confirmed likewise.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null, empty and blank texts have no shingles, are
 linked with nothing and kept; repeated rows are copies of each other; a null id never names a component unless all its
@@ -36,8 +37,8 @@ from ._work import forget, keep
 SHINGLE, K, MIN_SHARED = 5, 64, 30
 #: Similarity in hundredths, and how far below it an estimate may lie.
 SIMILARITY, SLACK = 75, 25
-#: Members of a list above which pairs must share a second value.
-LONG_LIST = 64
+#: Width of a band of set sizes, as a ratio.
+BAND = 1.03
 SLICE_BYTES = 2 << 20
 
 
@@ -80,10 +81,8 @@ def sketches(own: DataFrame) -> DataFrame:
             for x in _sets(batch):
                 ids.append(set_id(x) if len(x) else None)
                 n.append(len(x))
-                low.append(x[:K].view(np.int64))
-            ends = np.cumsum([0, *(len(x) for x in low)]).astype(np.int32)
-            values = np.concatenate(low) if low else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "set_id", "n", "sketch"])
+                low.append(x[:K].view(np.int64).copy())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), _lists(low)], names=["doc_id", "set_id", "n", "sketch"])
 
     return own.mapInArrow(work, f"doc_id {kind}, set_id long, n long, sketch array<long>")
 
@@ -114,37 +113,47 @@ def _similar(pairs: DataFrame, classes: DataFrame, own: DataFrame, tag: str) ->
 
     kind = classes.schema["low"].dataType.simpleString()
     likely = keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimated, f"a long, b long, low_a {kind}, low_b {kind}"), f"{tag}-likely")
-    wanted = likely.select(F.explode(F.array("low_a", "low_b")).alias("low")).distinct()
+    needed = likely.select(F.explode(F.array(F.struct(F.col("a").alias("set_id"), F.col("low_a").alias("low")), F.struct(F.col("b").alias("set_id"), F.col("low_b").alias("low")))).alias("x")).select("x.*").distinct()
+    return _confirmed(likely.select("a", "b"), full_sets(needed, own, tag), tag)
+
+
+def full_sets(needed: DataFrame, own: DataFrame, tag: str) -> DataFrame:
+    """set_id, shingles of the classes in ``needed`` (set_id, low), from the texts of their documents.
+
+    Texts of documents that stand for none of them don't move.
+    """
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, bodies = [], []
-            for x in _sets(batch):
-                if len(x):
-                    ids.append(set_id(x))
-                    bodies.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], names=["set_id", "body"])
+            data, offsets = tk.text_buffer(batch.column("text"))
+            for lo, hi in tk.row_slices(offsets, SLICE_BYTES):
+                found = [x for x in sets_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), _lists([x.view(np.int64) for x in found])], names=["set_id", "shingles"])
+
+    some = marked(own, F.col("doc_id"), needed, "low", "wanted").where("wanted").select("text")
+    sets = some.mapInArrow(full, "set_id long, shingles array<long>").join(needed.select("set_id").distinct(), "set_id", "left_semi")
+    return keep(sets.groupBy("set_id").agg(F.any_value("shingles").alias("shingles")), f"{tag}-sets")
 
-    # texts of documents that stand for no likely pair don't move
-    some = marked(own, F.col("doc_id"), wanted, "low", "wanted").where("wanted").select("text")
-    needed = likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    bodies = keep(some.mapInArrow(full, "set_id long, body binary").groupBy("set_id").agg(F.any_value("body").alias("body")).join(needed, "set_id", "left_semi"), f"{tag}-sets")
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) for x in parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, tag: str) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("body_a"), batch.column("body_b")
+            a, b = batch.column("sets_a"), batch.column("sets_b")
             sure = []
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
+                x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 sure.append(100 * both >= SIMILARITY * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(sure, pa.bool_()))
 
-    with_sets = (
-        likely.select("a", "b")
-        .join(bodies.select(F.col("set_id").alias("a"), F.col("body").alias("body_a")), "a")
-        .join(bodies.select(F.col("set_id").alias("b"), F.col("body").alias("body_b")), "b")
-    )
+    with_sets = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sets_a")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sets_b")), "b")
     return keep(with_sets.mapInArrow(confirmed, "a long, b long"), f"{tag}-links")
 
 
@@ -168,11 +177,10 @@ def linked_classes(classes: DataFrame, own: DataFrame) -> DataFrame:
         # values that no other set retains come first, and lead to no pair
         .where("m >= least")
         .withColumn("head", kept - F.col("least") + 1 - F.col("alone"))
-        .where("place <= head + 1")
-        .select("value", "set_id", "n", "central", "place", "head")
+        .where("place <= head")
+        .select("value", "set_id", "n", "central")
     )
-    lists = keep(ranked, "minhash-lists")
-    entries = lists.where("place <= head")
+    entries = lists = keep(ranked, "minhash-lists")
 
     leaders = entries.groupBy("value").agg(F.max(F.struct("central", "set_id", "n")).alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
     met = (
@@ -189,26 +197,55 @@ def linked_classes(classes: DataFrame, own: DataFrame) -> DataFrame:
     first = components(first_links, "minhash-first")
 
     # what is left: sets of one list in different components
-    named = entries.join(first.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")).select("value", "set_id", "n", "component")
-    mixed = named.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("value", "m")
-    open_ = keep(named.join(mixed, "value"), "minhash-open")
-    short = open_.where(F.col("m") <= LONG_LIST).select("value", F.lit(0).cast("long").alias("second"), "set_id", "n", "component")
-    # a pair shares two of the first head + 1 values if it shares enough; lists of pairs of values are shorter
-    seconds = lists.select("set_id", F.col("value").alias("second"))
-    long_ = open_.where(F.col("m") > LONG_LIST).join(seconds, "set_id").where("value <> second").select(F.least("value", "second").alias("value"), F.greatest("value", "second").alias("second"), "set_id", "n", "component").distinct()
-    cells = short.unionByName(long_)
-    left = cells.select("value", "second", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = cells.select("value", "second", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    rest = left.join(right, ["value", "second"]).where("a < b AND c_a <> c_b").where(_fits("n_a", "n_b")).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    rest = keep(rest, "minhash-rest")
-    more = _similar(rest, classes, own, "minhash-rest")
-    for x in (open_, rest, star, lists):
+    named = entries.select("value", "set_id").join(first.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    mixed = named.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
+    open_ = keep(named.join(mixed, "value", "left_semi").select("set_id", "component").distinct().join(classes.select("set_id", "n", "low"), "set_id"), "minhash-open")
+    more = linked_across(open_, own)
+    for x in (star, lists):
         forget(x)
     if more.isEmpty():
         return first
     return components(first_links.union(more), "minhash-all")
 
 
+def linked_across(sets: DataFrame, own: DataFrame) -> DataFrame:
+    """All links (a, b) between sets of different components, by their full sets. sets: set_id, component, n, low.
+
+    With the shingles of each set ordered rarest first, two similar sets share one of the first ``n - need + 1``: the
+    larger set needs 3/4 of its shingles in common, the smaller one 6/7. Only shingles that sets of two components hold
+    can be common here, and ``m`` of them leave room for partners up to a certain size alone; sizes are dealt into
+    narrow bands, and a set only looks into the bands of its possible partners. So variants that are too far from the
+    middle of a large family never meet its members.
+    """
+    full = full_sets(sets.select("set_id", "low"), own, "minhash-open")
+    shingles = full.join(sets.select("set_id", "component", "n"), "set_id").select("set_id", "component", "n", F.explode("shingles").alias("value"))
+    held = shingles.groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value", "df")
+    everything = Window.partitionBy("set_id")
+    ranked = shingles.join(held, "value").withColumns({"place": F.row_number().over(everything.orderBy("df", "value")), "m": F.count(F.lit(1)).over(everything)})
+    # intersection >= s / (100 + s) * (sum of sizes), in integers
+    top, all_ = SIMILARITY, 100 + SIMILARITY
+    ranked = (
+        ranked.withColumn("need_small", F.expr(f"(2 * {top} * n + {all_ - 1}) div {all_}"))
+        .withColumn("need_large", F.expr(f"({top} * n + 99) div 100"))
+        .withColumn("most", F.expr(f"m * {all_} div {top} - n"))  # greatest size of a partner
+        .where("place <= m - need_large + 1")
+    )
+    ranked = keep(ranked.select("value", "set_id", "component", "n", "m", "place", "need_small", "need_large", "most"), "minhash-prefix")
+    band = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND))).cast("int")
+    small = ranked.where("place <= m - need_small + 1 AND most >= n").select("value", F.col("set_id").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), band(F.col("n")).alias("band"))
+    large = (
+        ranked.withColumn("upto", F.least("n", "most"))
+        .where("upto >= need_large")
+        .select("value", F.col("set_id").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("upto"), F.explode(F.sequence(band(F.col("need_large")), band(F.col("upto")))).alias("band"))
+    )
+    meets = small.join(large, ["value", "band"]).where("c_a <> c_b AND n_a <= upto AND n_b <= most_a AND (n_a < n_b OR a < b)").where(_fits("n_a", "n_b"))
+    pairs = keep(meets.select("a", "b").distinct(), "minhash-rest")
+    links = _confirmed(pairs, full, "minhash-rest")
+    for x in (ranked, pairs, full):
+        forget(x)
+    return links
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
