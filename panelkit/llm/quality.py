@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     kind = own.schema["doc_id"].dataType.simpleString()
     rows = own.mapInArrow(work, f"doc_id {kind}, y double, x array<double>").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    return grow(np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), -1), np.array([r["y"] for r in rows], dtype=float))
+    return grow(np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), N_STATISTICS), np.array([r["y"] for r in rows], dtype=float))
 
 
 def score(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

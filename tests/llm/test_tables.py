@@ -280,12 +280,14 @@ def test_bitmap_misses_nothing(spark):
 
 
 def test_shared_folder_is_the_session_s(spark):
-    assert shared_folder(spark)
-    spark.conf.set("spark.checkpoint.dir", "file:///tmp/named/")
-    try:
-        assert shared_folder(spark) == "file:///tmp/named"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    from types import SimpleNamespace
+
+    assert shared_folder(spark).startswith("file:")
+    conf = {"spark.checkpoint.dir": "hdfs://named/folder/"}
+    on = lambda conf, master: SimpleNamespace(conf=SimpleNamespace(get=conf.get), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(on(conf, "yarn")) == "hdfs://named/folder"
+    with pytest.raises(ValueError):
+        shared_folder(on({}, "yarn"))
 
 
 def test_pipeline(spark, tmp_path):
