@@ -37,8 +37,10 @@ from ._work import forget, keep
 SHINGLE, K, MIN_SHARED = 5, 64, 30
 #: Similarity in hundredths, and how far below it an estimate may lie.
 SIMILARITY, SLACK = 75, 25
-#: Width of a band of set sizes, as a ratio.
-BAND = 1.03
+#: Width of a band of set sizes, as a ratio, and members of one component and band that count as a crowd.
+BAND, CROWD = 1.03, 16
+#: Shingles of a set up to which its rows carry the shingles before them; larger sets may meet more than once.
+CARRIED = 600
 SLICE_BYTES = 2 << 20
 
 
@@ -214,34 +216,65 @@ def linked_across(sets: DataFrame, own: DataFrame) -> DataFrame:
     With the shingles of each set ordered rarest first, two similar sets share one of the first ``n - need + 1``: the
     larger set needs 3/4 of its shingles in common, the smaller one 6/7. Only shingles that sets of two components hold
     can be common here, and ``m`` of them leave room for partners up to a certain size alone; sizes are dealt into
-    narrow bands, and a set only looks into the bands of its possible partners. So variants that are too far from the
-    middle of a large family never meet its members.
+    narrow bands, and a set only looks into the bands of its possible partners. Many members of one component and band are
+    a crowd: a set only meets its members if enough of its shingles are held by the crowd as a whole. So variants that
+    are too far from a large family never meet its members one by one.
     """
     full = full_sets(sets.select("set_id", "low"), own, "minhash-open")
-    shingles = full.join(sets.select("set_id", "component", "n"), "set_id").select("set_id", "component", "n", F.explode("shingles").alias("value"))
+    # intersection >= s / (100 + s) * (sum of sizes), in integers
+    top, all_ = SIMILARITY, 100 + SIMILARITY
+    need = lambda total: F.expr(f"({top} * ({total}) + {all_ - 1}) div {all_}")
+    band = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND))).cast("int")
+    sets = sets.select("set_id", "component", "n").withColumn("crowd", F.xxhash64("component", band(F.col("n"))))
+    shingles = full.join(sets, "set_id").select("set_id", "component", "crowd", "n", F.explode("shingles").alias("value"))
     held = shingles.groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value", "df")
     everything = Window.partitionBy("set_id")
     ranked = shingles.join(held, "value").withColumns({"place": F.row_number().over(everything.orderBy("df", "value")), "m": F.count(F.lit(1)).over(everything)})
-    # intersection >= s / (100 + s) * (sum of sizes), in integers
-    top, all_ = SIMILARITY, 100 + SIMILARITY
     ranked = (
-        ranked.withColumn("need_small", F.expr(f"(2 * {top} * n + {all_ - 1}) div {all_}"))
+        ranked.withColumn("need_small", need("2 * n"))
         .withColumn("need_large", F.expr(f"({top} * n + 99) div 100"))
         .withColumn("most", F.expr(f"m * {all_} div {top} - n"))  # greatest size of a partner
-        .where("place <= m - need_large + 1")
+        .where("m >= need_large")
     )
-    ranked = keep(ranked.select("value", "set_id", "component", "n", "m", "place", "need_small", "need_large", "most"), "minhash-prefix")
-    band = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND))).cast("int")
-    small = ranked.where("place <= m - need_small + 1 AND most >= n").select("value", F.col("set_id").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), band(F.col("n")).alias("band"))
+    ranked = keep(ranked.select("value", "set_id", "component", "crowd", "n", "m", "place", "need_small", "need_large", "most"), "minhash-prefix")
+    # members of one component and band of sizes, where they are many, are met together before they are met one by one
+    crowds = sets.groupBy("crowd").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("greatest"), F.any_value("component").alias("of")).where(F.col("members") >= CROWD)
+    crowds = keep(crowds, "minhash-crowds")
+    union = ranked.join(crowds, "crowd").select("value", F.col("crowd").alias("near"), "least", "greatest", "of").distinct()
+    reached = (
+        ranked.select("value", "set_id", "component", "n")
+        .join(union, "value")
+        .where(F.col("component") != F.col("of"))
+        .where((100 * F.col("n") >= SIMILARITY * F.col("least")) & (100 * F.col("greatest") >= SIMILARITY * F.col("n")))
+        .groupBy("set_id", "n", "near", "least")
+        .agg(F.count(F.lit(1)).alias("both"))
+        .where(F.col("both") >= need("n + greatest(least, (75 * n + 99) div 100)"))
+        .groupBy("set_id")
+        .agg(F.collect_list("near").alias("near"))
+    )
+    none = F.array().cast("array<bigint>")
+    heads = ranked.where("place <= m - need_large + 1")
+    firsts = heads.groupBy("set_id", "crowd").agg(F.array_sort(F.collect_list(F.when(F.col("n") <= CARRIED, F.struct("place", "value")))).alias("firsts"))
+    known = firsts.join(reached, "set_id", "left").join(crowds.select("crowd", "members"), "crowd", "left")
+    known = keep(known.select("set_id", F.col("firsts.value").alias("firsts"), F.coalesce("near", none).alias("near"), F.col("members").isNotNull().alias("crowded")), "minhash-near")
+    # what stands before a shingle in its set: two sets meet at the first one that they share
+    prefix = heads.join(known, "set_id").withColumn("before", F.slice("firsts", F.lit(1), F.col("place") - 1))
+    small = prefix.where("place <= m - need_small + 1 AND most >= n").select("value", *[F.col(c).alias(f"{c}_a") for c in ("component", "crowd", "crowded", "near", "n", "most", "before")], F.col("set_id").alias("a"), band(F.col("n")).alias("band"))
     large = (
-        ranked.withColumn("upto", F.least("n", "most"))
+        prefix.withColumn("upto", F.least("n", "most"))
         .where("upto >= need_large")
-        .select("value", F.col("set_id").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("upto"), F.explode(F.sequence(band(F.col("need_large")), band(F.col("upto")))).alias("band"))
+        .select("value", *[F.col(c).alias(f"{c}_b") for c in ("component", "crowd", "crowded", "near", "n", "before")], F.col("set_id").alias("b"), "upto", F.explode(F.sequence(band(F.col("need_large")), band(F.col("upto")))).alias("band"))
+    )
+    meets = (
+        small.join(large, ["value", "band"])
+        .where("component_a <> component_b AND n_a <= upto AND n_b <= most_a AND (n_a < n_b OR a < b)")
+        .where("(NOT crowded_a OR array_contains(near_b, crowd_a)) AND (NOT crowded_b OR array_contains(near_a, crowd_b))")
+        .where(_fits("n_a", "n_b"))
+        .where("NOT arrays_overlap(before_a, before_b)")
     )
-    meets = small.join(large, ["value", "band"]).where("c_a <> c_b AND n_a <= upto AND n_b <= most_a AND (n_a < n_b OR a < b)").where(_fits("n_a", "n_b"))
     pairs = keep(meets.select("a", "b").distinct(), "minhash-rest")
     links = _confirmed(pairs, full, "minhash-rest")
-    for x in (ranked, pairs, full):
+    for x in (ranked, pairs, full, crowds, known):
         forget(x)
     return links
 

@@ -168,8 +168,10 @@ def test_minhash(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_minhash_many_families(spark):
+@pytest.mark.parametrize("crowd", [2, 16])
+def test_minhash_many_families(spark, monkeypatch, crowd):
     """Copies at all distances, around centres and in chains."""
+    monkeypatch.setattr(minhash, "CROWD", crowd)
     rng = random.Random(4)
     rows = []
     for f in range(25):
