@@ -12,8 +12,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -66,3 +69,21 @@ def forget(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let rows go to Python workers in batches of bounded bytes: batches bounded by rows alone grow with the texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def numbered(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """``docs`` with columns c0, c1, … so that any names will do, and the name of its text as a string among them."""
+    small_batches(docs.sparkSession)
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    at = [k for k, (c, kind) in enumerate(docs.dtypes) if c == text and kind == "string"]
+    if at:
+        return own, f"c{at[0]}"
+    place = next(k for k, c in enumerate(docs.columns) if c.lower() == text.lower())
+    return own.withColumn("text", F.col(f"c{place}").cast("string")), "text"

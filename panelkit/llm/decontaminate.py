@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _tokens as tk
+from ._work import numbered, small_batches
 from .fm_index import FMIndex
 
 WINDOW = 10
 #: Words of a training shard, and bytes of text that are tokenized at once.
-SHARD_WORDS, SLICE_BYTES = 1_000_000, 4 << 20
+SHARD_WORDS, SLICE_BYTES = 400_000, 2 << 20
 #: Benchmark bytes of one block, the most that is broadcast at once.
 BLOCK_BYTES = 1 << 20
 #: Suffix rows that are located at once.
@@ -200,6 +201,7 @@ def _blocks(spark: SparkSession, benchmark: DataFrame, item_id: str, text: str)
 def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items, spans: per document the items found and the merged spans to remove, in words."""
     spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     schema = _RESULT.format(kind=kind)
@@ -231,21 +233,21 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no phrase occurs."""
     spark = docs.sparkSession
-    # columns by place, so that any names will do
-    own = docs.select(F.col(text).cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    own, body = numbered(docs, text)
+    width = len(docs.columns)
     blocks = [spark.sparkContext.broadcast(phrases_of(rows, window)) for rows in _blocks(spark, benchmark, item_id, item_text)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, hashes, sizes, first in shards(batches):
+        for batch, hashes, sizes, first in shards(batches, body):
             clean = np.ones(batch.num_rows, dtype=bool)
             for sent in blocks:
                 phrases = sent.value
                 clean[hits_of_shard(phrases.symbols(hashes, sizes), first, phrases)[1]] = False
                 if len(blocks) > 1:
                     del phrases, sent._value
-            yield batch.filter(pa.array(clean)).select(range(1, batch.num_columns))
+            yield batch.filter(pa.array(clean)).select(range(width))
 
-    kept = own.mapInArrow(work, own.drop("text").schema)
+    kept = own.mapInArrow(work, own.select(own.columns[:width]).schema)
     return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 

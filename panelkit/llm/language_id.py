@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _tokens as tk
+from ._work import numbered, small_batches
 
 BUCKETS = 1 << 15
 MAX_GRAM = 3
@@ -121,8 +122,8 @@ def grams(points: np.ndarray, row: np.ndarray, buckets: int = BUCKETS, most: int
     return np.concatenate(parts), np.concatenate(rows)
 
 
-def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    data, offsets = tk.text_buffer(batch.column("text"))
+def _sliced(batch: pa.RecordBatch, body: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    data, offsets = tk.text_buffer(batch.column(body))
     for lo, hi in tk.row_slices(offsets, SLICE_BYTES):
         yield lo, hi, *normalised(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
@@ -148,6 +149,7 @@ class Model:
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Count all labelled rows and take logarithms."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +192,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = own.schema["doc_id"].dataType.simpleString()
@@ -202,10 +205,10 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     return own.mapInArrow(work, f"doc_id {kind}, lang_pred string, score double")
 
 
-def _predicted(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _predicted(model: Model, batch: pa.RecordBatch, body: str = "text") -> tuple[np.ndarray, np.ndarray]:
     names = np.array(["und", *model.languages], dtype=object)
     pred, score = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
-    for lo, hi, points, row, has in _sliced(batch):
+    for lo, hi, points, row, has in _sliced(batch, body):
         if model.languages:
             best, own = model.score(points, row, hi - lo)
             pred[lo:hi], score[lo:hi] = np.where(has, best + 1, 0), np.where(has, own, 0.0)
@@ -214,15 +217,16 @@ def _predicted(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndar
 
 def keep_known(docs: DataFrame, model: Model, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is known."""
-    own = docs.select(F.col(text).cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    own, body = numbered(docs, text)
+    width = len(docs.columns)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            name, score = _predicted(sent.value, batch)
-            yield batch.filter(pa.array((name != "und") & (score >= min_score))).select(range(1, batch.num_columns))
+            name, score = _predicted(sent.value, batch, body)
+            yield batch.filter(pa.array((name != "und") & (score >= min_score))).select(range(width))
 
-    kept = own.mapInArrow(work, own.drop("text").schema)
+    kept = own.mapInArrow(work, own.select(own.columns[:width]).schema)
     return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 

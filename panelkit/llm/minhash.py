@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import _tokens as tk
 from ._bitmap import marked
 from ._components import components
-from ._work import forget, keep
+from ._work import forget, keep, small_batches
 
 SHINGLE, K, MIN_SHARED = 5, 64, 30
 #: Similarity in hundredths, and how far below it an estimate may lie.
@@ -281,6 +281,7 @@ def linked_across(sets: DataFrame, own: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = keep(sketches(own), "minhash-sketches")
     classes = keep(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "minhash-classes")

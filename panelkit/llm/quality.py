@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _tokens as tk
+from ._work import small_batches
 
 MAX_SAMPLE = 20_000
 BINS, TREES, DEPTH, RATE = 64, 80, 4, 0.15
@@ -201,6 +202,7 @@ def _statistics_of(batch: pa.RecordBatch) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_sample: int = MAX_SAMPLE) -> Forest:
     """Grow trees on a bounded sample of the labelled documents."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.avg(F.col(label).cast("double")).alias("y"))
     n = known.count()
     place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 32) - 1))
@@ -220,6 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(forest)
 
