@@ -70,31 +70,33 @@ def newey_west(series: DataFrame, col: str = "ic", max_lag: int | None = None, b
     shifted. Fewer than two values give nulls, and so does a variance that isn't above 0.
     """
     x = known(F.col(col))
-    arrays = (
-        series.groupBy(*by)
-        .agg(F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct(F.col(order).alias("at"), x.alias("v"))))).alias("_a"), F.avg(x).alias("_m"))
-        .withColumn("_v", F.transform("_a", lambda e: e["v"] - F.col("_m")))
-        .withColumn("n", F.size("_v"))
-    )
-    lag = F.lit(max_lag) if max_lag is not None else newey_west_lag(F.col("n"))
-    lag = lag.cast("int")
+    arrays = series.groupBy(*by).agg(sorted_values(x, order).alias("_a"), F.avg(x).alias("_m"))
+    return arrays.select(*by, newey_west_of(F.col("_a"), F.col("_m"), max_lag).alias("_nw")).select(*by, "_nw.*")
+
+
+def sorted_values(x: Column, order: str = "date") -> Column:
+    """The defined values of a series in its order, as an aggregate; a series has one value per date."""
+    return F.transform(F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct(F.col(order).alias("at"), x.alias("v"))))), lambda e: e["v"])
+
+
+def newey_west_of(values: Column, mean: Column, max_lag: int | None = None) -> Column:
+    """mean, se, t_stat, max_lag, n of an array of defined values, as a struct."""
+    n = F.size(values)
+    centred = F.transform(values, lambda v: v - mean)
+    lag = F.lit(max_lag).cast("int") if max_lag is not None else newey_west_lag(n)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, e: s + e)
-    own = total(F.transform("_v", lambda e: e * e)) / F.col("n")
 
     def covariance(k: Column) -> Column:
-        m = F.greatest(F.col("n") - k, F.lit(0))
-        products = F.zip_with(F.slice("_v", k + 1, m), F.slice("_v", F.lit(1), m), lambda a, b: a * b)
-        return F.coalesce(total(products), F.lit(0.0)) / F.col("n")
-
-    steps = F.when(F.col("max_lag") >= 1, F.sequence(F.lit(1), F.col("max_lag"))).otherwise(F.array().cast("array<int>"))
-    weighted = F.aggregate(steps, F.lit(0.0), lambda s, k: s + (F.lit(1.0) - k / (F.col("max_lag") + 1)) * covariance(k))
-    enough = F.col("n") >= 2
-    spread = (
-        arrays.withColumn("max_lag", F.when(enough, lag))
-        .withColumn("_var", F.when(enough, own + F.lit(2.0) * weighted))
-        .withColumn("se", F.when(F.col("_var") > 0, F.sqrt(F.col("_var") / F.col("n"))))
-    )
-    return spread.select(*by, F.when(enough, F.col("_m")).alias("mean"), "se", over_zero(F.col("_m"), F.col("se")).alias("t_stat"), "max_lag", F.col("n").cast("bigint").alias("n"))
+        m = F.greatest(n - k, F.lit(0))
+        products = F.zip_with(F.slice(centred, k + 1, m), F.slice(centred, F.lit(1), m), lambda a, b: a * b)
+        return F.coalesce(total(products), F.lit(0.0)) / n
+
+    enough = n >= 2
+    steps = F.when(enough & (lag >= 1), F.sequence(F.lit(1), lag)).otherwise(F.array().cast("array<int>"))
+    weighted = F.aggregate(steps, F.lit(0.0), lambda s, k: s + (F.lit(1.0) - k / (lag + 1)) * covariance(k))
+    variance = F.when(enough, total(F.transform(centred, lambda e: e * e)) / n + F.lit(2.0) * weighted)
+    se = F.when(variance > 0, F.sqrt(variance / n))
+    return F.struct(F.when(enough, mean).alias("mean"), se.alias("se"), over_zero(mean, se).alias("t_stat"), F.when(enough, lag).alias("max_lag"), n.cast("bigint").alias("n"))
 
 
 newey_west_ic_tstat = newey_west

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.helpers import as_list
+from ..functions.quantiles import linear_quantiles, order_statistics
 from ..functions.stats import pearson
 from .evaluation import unpivot
 
@@ -27,27 +28,21 @@ def rows_per_ticker(df: DataFrame) -> DataFrame:
     return df.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _long(df: DataFrame, columns) -> DataFrame:
+    return unpivot(df, columns, keep=(), name="column").where("value IS NOT NULL AND NOT isnan(value)")
+
+
 def describe(df: DataFrame, columns) -> DataFrame:
-    """column, n, mean, std, lo, q1, median, q3, hi."""
-    long = unpivot(df, columns, keep=(), name="column")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("lo"), q.alias("_q"), F.max("value").alias("hi")).select(
-        "column", "n", "mean", "std", "lo", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "hi"
-    )
+    """column, n, mean, std, lo, q1, median, q3, hi of the defined values."""
+    long = _long(df, columns)
+    moments = long.groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    q = linear_quantiles(long, [0.25, 0.5, 0.75]).groupBy("column").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value")).toDF("column", "q1", "median", "q3")
+    return moments.join(q, "column").select("column", "n", "mean", "std", "lo", "q1", "median", "q3", "hi")
 
 
 def quantiles(df: DataFrame, columns, points=(0.01, 0.5, 0.99)) -> DataFrame:
-    """column, p, value: the value nearest to each quantile's place.
-
-    Equal values are counted before they are ordered, so what is ordered is as many rows as there are distinct values.
-    """
-    long = unpivot(df, columns, keep=(), name="column").where("value IS NOT NULL AND NOT isnan(value)")
-    counted = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("m"))
-    spec = Window.partitionBy("column")
-    upto = counted.withColumns({"_to": F.sum("m").over(spec.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_n": F.sum("m").over(spec)})
-    wanted = upto.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in points])))
-    place = F.round(F.col("p") * (F.col("_n") - 1)).cast("bigint") + 1
-    return wanted.where((place <= F.col("_to")) & (place > F.col("_to") - F.col("m"))).select("column", "p", "value")
+    """column, p, value: the value nearest to each quantile's place."""
+    return order_statistics(_long(df, columns), list(points), F.round(F.col("p") * (F.col("n") - 1))).select("column", "p", "value")
 
 
 def correlation_matrix(df: DataFrame, columns) -> DataFrame:
@@ -80,6 +75,5 @@ def normal_quantiles(df: DataFrame, col: str, points: int = 99) -> DataFrame:
     from statistics import NormalDist
 
     ps = [k / (points + 1) for k in range(1, points + 1)]
-    inverse = F.array(*[F.lit(NormalDist().inv_cdf(p)) for p in ps])
-    q = df.agg(F.percentile(F.col(col), F.array(*[F.lit(p) for p in ps])).alias("q"))
-    return q.select(F.inline(F.zip_with(F.zip_with(F.array(*[F.lit(p) for p in ps]), F.col("q"), lambda p, v: F.struct(p.alias("p"), v.alias("v"))), inverse, lambda x, n: F.struct(x["p"].alias("p"), x["v"].alias("value"), n.alias("normal")))))
+    normal = F.element_at(F.create_map(*[F.lit(x) for p in ps for x in (p, NormalDist().inv_cdf(p))]), F.col("p"))
+    return linear_quantiles(_long(df, col), ps).select("p", "value", normal.alias("normal"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.helpers import as_list
+from ..functions.helpers import as_list, known, over_zero
+from ..functions.stats import pearson, sharpe, two_sided_pvalue
 from . import evaluation as ev
 
 FIELDS = (
@@ -17,24 +18,47 @@ FIELDS = (
 def compare_reports(df: DataFrame, signal_cols, fwdret_col: str = "fwdret", n_days: int = 365) -> DataFrame:
     """``FIELDS`` for each signal.
 
-    Signals are unpivoted once; IC, turnover and long-short returns are each one grouped pass over all of them, and what
-    is joined at the end is one row per signal.
+    Signals are unpivoted once. What follows is three grouped passes over all of them: information coefficients (their
+    summary, errors and autocorrelation come from one aggregate), changes per ticker (turnover and coverage), and
+    long-short returns. What is joined at the end is one row per signal.
     """
     key = ("signal",)
     long = ev.unpivot(df, signal_cols, keep=("ticker", "date", F.col(fwdret_col).alias("_fwd")))
-    ic = ev.compute_ic(long, "value", "_fwd", by=key)
-    summary = ev.summarize_ic(ic, by=key).select("signal", F.col("mean").alias("ic_mean"), F.col("std").alias("ic_std"), F.col("ir").alias("ic_ir"), F.col("t_stat").alias("ic_tstat_naive"), "hit_rate", "n_days")
-    nw = ev.ic_pvalue_nw(ev.newey_west(ic, by=key)).select("signal", F.col("t_stat").alias("ic_tstat_nw"), F.col("p_value").alias("ic_pval_nw"))
-    lag = ev.autocorrelation(ic, "ic", (1,), by=key).select("signal", F.col("lag_1").alias("ic_lag1_autocorr"))
-    coverage = ev.get_recent_coverage(long, "value", n_days, by=key).withColumnRenamed("coverage", "recent_coverage")
-    turnover = ev.compute_stability(long, "value", by=key).groupBy("signal").agg(F.avg("turnover").alias("avg_turnover"))
-    spread = ev.decile_longshort_returns(long, "value", "_fwd", by=key)
-    gain = ev.sharpe_ratio(spread, "spread_ret", by=key).withColumnRenamed("sharpe", "long_short_sharpe")
-    fall = ev.max_drawdown(spread, "spread_ret", by=key).withColumnRenamed("max_drawdown", "long_short_max_dd")
-    out = coverage  # has a row for every signal with recent rows
-    for part in (summary, nw, lag, turnover, gain, fall):
-        out = out.join(part, "signal", "left")
-    return out.select(*FIELDS)
+    series = Window.partitionBy("signal").orderBy("date")
+
+    x = known(F.col("ic"))
+    ic = ev.compute_ic(long, "value", "_fwd", by=key).withColumn("_before", F.lag("ic").over(series))
+    predictive = (
+        ic.groupBy("signal")
+        .agg(
+            F.avg(x).alias("ic_mean"),
+            F.stddev_samp(x).alias("ic_std"),
+            F.avg((x > 0).cast("double")).alias("hit_rate"),
+            F.count(x).alias("n_days"),
+            pearson(x, known(F.col("_before"))).alias("ic_lag1_autocorr"),
+            ev.sorted_values(x).alias("_values"),
+        )
+        .withColumn("ic_ir", over_zero(F.col("ic_mean"), F.col("ic_std")))
+        .withColumn("ic_tstat_naive", F.col("ic_ir") * F.sqrt(F.col("n_days").cast("double")))
+        .withColumn("ic_tstat_nw", ev.newey_west_of(F.col("_values"), F.col("ic_mean"))["t_stat"])
+        .withColumn("ic_pval_nw", two_sided_pvalue(F.col("ic_tstat_nw")))
+    )
+
+    change = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("signal", "ticker").orderBy("date")))
+    dates = long.select("signal", "date", "value", change.alias("_c")).groupBy("signal", "date").agg(F.avg("_c").alias("_t"), F.count("value").alias("_known"), F.count(F.lit(1)).alias("_rows"))
+    recent = F.col("date") >= F.date_sub(F.max("date").over(Window.partitionBy("signal")), n_days)
+    stable = (
+        dates.withColumn("_recent", recent)
+        .groupBy("signal")
+        .agg(F.avg("_t").alias("avg_turnover"), (F.sum(F.when(F.col("_recent"), F.col("_known"))) / F.sum(F.when(F.col("_recent"), F.col("_rows"))).cast("double")).alias("recent_coverage"))
+    )
+
+    spread = ev.decile_longshort_returns(long, "value", "_fwd", by=key).withColumn("_r", known(F.col("spread_ret"))).where("_r IS NOT NULL")
+    upto = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = spread.withColumn("_c", F.sum("_r").over(upto))
+    gains = summed.withColumn("_d", F.col("_c") - F.max("_c").over(upto)).groupBy("signal").agg(sharpe(F.col("_r")).alias("long_short_sharpe"), F.min("_d").alias("long_short_max_dd"))
+
+    return stable.join(predictive, "signal", "left").join(gains, "signal", "left").select(*FIELDS)
 
 
 def signal_report(df: DataFrame, signal_col: str, fwd_ret_col: str = "fwdret") -> DataFrame:

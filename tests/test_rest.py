@@ -65,6 +65,24 @@ def test_inspection(spark):
     assert wide.columns == ["date", "A", "B"] and wide.count() == 10
 
 
+@pytest.mark.parametrize("few", [10, 0])
+def test_order_statistics(spark, monkeypatch, few):
+    from panelkit.functions import quantiles as q
+
+    monkeypatch.setattr(q, "ACCURACY", 200 if few == 0 else 5000)
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(size=20_000), np.zeros(5000), np.full(4000, 2.0)])
+    long = spark.createDataFrame([("x", float(v)) for v in values] + [("one", 3.0)], "column string, value double")
+    points = [0.0, 0.01, 0.37, 0.5, 0.8, 0.999, 1.0]
+    got = {(r["column"], r["p"]): r["value"] for r in q.linear_quantiles(long, points).collect()}
+    for p in points:
+        assert got["x", p] == pytest.approx(np.quantile(values, p), abs=1e-12) and got["one", p] == 3.0
+    nearest = {r["p"]: r["value"] for r in q.order_statistics(long.where("column = 'x'"), points, F.round(F.col("p") * (F.col("n") - 1))).collect()}
+    ordered = np.sort(values)
+    for p in points:
+        assert nearest[p] == ordered[int(np.floor(p * (len(values) - 1) + 0.5))]
+
+
 def test_half_years(spark):
     df = spark.createDataFrame([("2024-06-30", 1.0), ("2024-07-01", 2.0), ("2024-12-31", 4.0)], "d string, x double").select(F.to_date("d").alias("date"), "x")
     assert sorted((str(r["period"]), r["mean"], r["n"]) for r in inspection.half_years(df, "x").collect()) == [("2024-01-01", 1.0, 1), ("2024-07-01", 3.0, 2)]
