@@ -64,6 +64,22 @@ def rolling_by_sums(df: DataFrame, x: Column, windows: Iterable[int], spec: Wind
     return sums.withColumns(out).drop("_x", "_c", "_d", "_n", "_s", "_q")
 
 
+def rolling_covariance_by_sums(df: DataFrame, x: Column, y: Column, windows: Iterable[int], spec: WindowSpec, name: str) -> DataFrame:
+    """Rolling sample covariance (``name`` with ``{n}``) for many windows, as ``rolling_by_sums``; for values around 0."""
+    running = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = x.isNotNull() & y.isNotNull()
+    zero = F.lit(0.0)
+    pairs = df.withColumns({"_x": F.when(both, x).otherwise(zero), "_y": F.when(both, y).otherwise(zero), "_b": both.cast("int")})
+    sums = pairs.withColumns(
+        {"_n": F.sum("_b").over(running), "_sx": F.sum("_x").over(running), "_sy": F.sum("_y").over(running), "_sxy": F.sum(F.col("_x") * F.col("_y")).over(running)}
+    )
+    out = {}
+    for n in windows:
+        part = lambda c, n=n: F.col(c) - F.coalesce(F.lag(c, n).over(spec), F.lit(0))
+        out[name.format(n=n)] = F.when(part("_n") == n, (part("_sxy") - part("_sx") * part("_sy") / n) / (n - 1))
+    return sums.withColumns(out).drop("_x", "_y", "_b", "_n", "_sx", "_sy", "_sxy")
+
+
 def average_rank(x: Column, spec_keys: list[str], descending: bool = False) -> Column:
     """Rank within the keys, ties share their mean rank, null stays null."""
     order = x.desc_nulls_last() if descending else x.asc_nulls_last()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.helpers import as_list
-from ..functions.windows import full, last, per_ticker, rolling_by_sums
+from ..functions.windows import full, last, per_ticker, rolling_by_sums, rolling_covariance_by_sums
 
 #: Windows from this length on are taken from running sums where values are on the scale of returns.
 LONG = 20
@@ -104,7 +104,7 @@ def market_variance(market: DataFrame, window=60) -> DataFrame:
     return market.select("date", *[full(F.var_samp(x), x, calendar, w).alias(f"mkt_var{w}") for w in as_list(window)])
 
 
-def add_beta(df: DataFrame, window=60, min_tickers: int = MIN_TICKERS) -> DataFrame:
+def add_beta(df: DataFrame, window=60, min_tickers: int = MIN_TICKERS, by_sums: bool = True) -> DataFrame:
     """``beta{w}``: rolling covariance with the market over the ticker's rows, by the market's variance over the calendar.
 
     Adds ``mkt_logret`` and ``n_tickers`` where they aren't there yet.
@@ -118,12 +118,18 @@ def add_beta(df: DataFrame, window=60, min_tickers: int = MIN_TICKERS) -> DataFr
         calendar = market_variance(market, windows).withColumnRenamed("date", "_day")
         joined = df.join(market.join(calendar, market["date"] == calendar["_day"]).drop("_day"), "date", "left")
     both = F.col("logret") + F.col("mkt_logret")
-    out = {}
+    long = [w for w in windows if by_sums and w >= LONG]
+    covariance = {}
     for w in windows:
-        frame = last(per_ticker(), w)
-        covariance = F.when(F.count(both).over(frame) == w, F.covar_samp("logret", "mkt_logret").over(frame))
-        out[f"beta{w}"] = covariance / F.nullif(F.col(f"mkt_var{w}"), F.lit(0.0))
-    return joined.withColumns(out).drop(*[f"mkt_var{w}" for w in windows])
+        if w not in long:
+            frame = last(per_ticker(), w)
+            covariance[f"_cov{w}"] = F.when(F.count(both).over(frame) == w, F.covar_samp("logret", "mkt_logret").over(frame))
+    if covariance:
+        joined = joined.withColumns(covariance)
+    if long:
+        joined = rolling_covariance_by_sums(joined, F.col("logret"), F.col("mkt_logret"), long, per_ticker(), "_cov{n}")
+    out = joined.withColumns({f"beta{w}": F.col(f"_cov{w}") / F.nullif(F.col(f"mkt_var{w}"), F.lit(0.0)) for w in windows})
+    return out.drop(*[f"{c}{w}" for w in windows for c in ("mkt_var", "_cov")])
 
 
 def missing_days(df: DataFrame) -> DataFrame:

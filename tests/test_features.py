@@ -83,6 +83,13 @@ def test_running_sums_equal_frames(spark, walk, window):
     assert np.allclose([x for x in a if x is not None], [x for x in b if x is not None], atol=1e-10)
 
 
+def test_beta_by_running_sums(spark, walk):
+    base = ft.add_log_returns(walk)
+    a, b = (_column(ft.add_beta(base, 20, min_tickers=2, by_sums=s), "beta20") for s in (False, True))
+    assert [x is None for x in a] == [x is None for x in b] and sum(x is not None for x in a) > 50
+    assert np.allclose([x for x in a if x is not None], [x for x in b if x is not None], atol=1e-9)
+
+
 def test_momentum_fills_null_closes(spark):
     rows = [("A", 1, 10.0), ("A", 2, None), ("A", 3, 15.0)]
     got = _column(ft.add_momentum(spark.createDataFrame(rows, "ticker string, date int, close double"), 1), "mom1")
