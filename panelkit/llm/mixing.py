@@ -7,7 +7,7 @@ its source's mean. The convex dual has one unknown per source. Newton steps on i
 
 Rates become whole copies: the whole part for every document, and one more for the documents that come first by an
 order-sampling priority (hash over fractional part) until the words still missing are covered. The priority at which a
-source is full is found by histogram refinement, four rounds of 13 bits, so no source is ever sorted in one task. What
+source is full is found by histogram refinement, seven rounds of 8 bits, so no source is ever sorted in one task. What
 a threshold can't fill is topped up by the largest documents that still fit, one per source and round.
 
 All sums that decide are integers or decimals, so reruns agree whatever the order of tasks.
@@ -30,7 +30,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 MICRO = 1_000_000
 NEWTON_STEPS = 40
 TOLERANCE = 1e-7
-ROUNDS, BITS = 4, 13
+ROUNDS, BITS = 7, 8
 TOP_UPS = 6
 #: More sources than this are joined by a shuffle, not broadcast.
 BROADCAST_SOURCES = 20_000
@@ -170,7 +170,7 @@ def plan_mix(units: DataFrame) -> tuple[DataFrame, int]:
     search = keep(missing, "mix-search")
     for k in range(ROUNDS):
         width = 1 << (BITS * (ROUNDS - 1 - k))
-        # the units of the bucket in which each source gets full, dealt into 2**13 finer ones
+        # the units of the bucket in which each source gets full, dealt into 2**8 finer ones
         fine = (
             rated.select("skey", "priority", words.alias("words"))
             .join(_small(search, n_sources), "skey")
