@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+from ..functions.stats import ROOT_2_PI, TAIL_BREAK, TAIL_DENOMINATOR, TAIL_END, TAIL_NUMERATOR
 from ..operators.fdr import LAMBDAS, smoothing_weights
 
 DAILY = """
@@ -180,6 +183,21 @@ out AS (SELECT v.signal, v.p, coalesce(k.i <= bh, FALSE) AS survives_bh, coalesc
 )
 
 
+def tail(x: str) -> str:
+    """Two-sided normal p-value of a t-statistic, by Horner's rule in SQL."""
+    a = f"abs({x})"
+
+    def horner(values: tuple[float, ...]) -> str:
+        out = f"{values[0]!r}::DOUBLE"
+        for v in values[1:]:
+            out = f"({out} * {a} + {v!r}::DOUBLE)"
+        return out
+
+    e = f"exp(-{a} * {a} / 2)"
+    far = f"{e} / ({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65::DOUBLE))))) / {ROOT_2_PI!r}::DOUBLE"
+    return f"2 * CASE WHEN {x} IS NULL THEN NULL WHEN {a} > {TAIL_END!r}::DOUBLE THEN 0 WHEN {a} < {TAIL_BREAK!r}::DOUBLE THEN {e} * {horner(TAIL_NUMERATOR)} / {horner(TAIL_DENOMINATOR)} ELSE {far} END"
+
+
 def decay(horizons: tuple[int, ...]) -> str:
     sums = ", ".join(f"CASE WHEN count(logret) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) = {h} THEN sum(logret) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) END AS f{h}" for h in horizons)
     rows = " UNION ALL ".join(f"SELECT CAST({h} AS INT) AS horizon, date, mom5, f{h} AS f FROM ah" for h in horizons)
@@ -205,7 +223,7 @@ cs AS (SELECT signal, date, x, sum(x) OVER (PARTITION BY signal ORDER BY date RO
 dd AS (SELECT signal, x, c - max(c) OVER (PARTITION BY signal ORDER BY date ROWS UNBOUNDED PRECEDING) AS d FROM cs),
 ls AS (SELECT signal, avg(x) / nullif(stddev_pop(x), 0) * sqrt(252.0) AS sh, min(d) AS mdd FROM dd GROUP BY signal)
 SELECT s.signal, {r('s.mean', 7)} AS ic_mean, {r('s.std', 7)} AS ic_std, {r('s.ir', 7)} AS ic_ir, {r('s.t_stat', 7)} AS ic_tstat_naive,
-       {r('nw.t_stat', 7)} AS ic_tstat_nw, {r('ac', 7)} AS ic_lag1_autocorr, {r('hit_rate', 7)} AS hit_rate, n_days,
+       {r('nw.t_stat', 7)} AS ic_tstat_nw, {r(tail('nw.t_stat'), 7)} AS ic_pval_nw, {r('ac', 7)} AS ic_lag1_autocorr, {r('hit_rate', 7)} AS hit_rate, n_days,
        {r('cov', 7)} AS recent_coverage, {r('tv', 7)} AS avg_turnover, {r('sh', 7)} AS long_short_sharpe, {r('mdd', 7)} AS long_short_max_dd
 FROM s JOIN nw USING (signal) JOIN lr USING (signal) JOIN cv USING (signal) JOIN tv USING (signal) JOIN ls USING (signal)"""
     )
@@ -325,6 +343,9 @@ SELECT lag, {r('avg(r)')} AS mean, {r('stddev_samp(r)')} AS std, CAST(count(r) A
     "latest_cross_section": on(DAILY, BASE) + f"SELECT ticker, date, {', '.join(r(c) + ' AS ' + c for c in ('close', 'logret', 'fwdret', 'mom5', 'std5'))} FROM b WHERE date = (SELECT max(date) FROM b)",
     "mp_bounds": on(MONTHLY) + f", s AS (SELECT count(DISTINCT ticker) AS a, count(DISTINCT date) AS o FROM p) SELECT CAST(a AS BIGINT) AS n_assets, CAST(o AS BIGINT) AS n_obs, {r('power(1 - sqrt(a / CAST(o AS DOUBLE)), 2)')} AS low, {r('power(1 + sqrt(a / CAST(o AS DOUBLE)), 2)')} AS high FROM s",
     "pairwise_correlations": on(MONTHLY, RETURNS) + f"SELECT a.ticker AS i, b.ticker AS j, {r(pearson('a.logret', 'b.logret'))} AS corr FROM r a JOIN r b USING (date) WHERE a.ticker < b.ticker AND a.ticker IN ('1','2','3','4') AND b.ticker IN ('1','2','3','4') GROUP BY 1, 2",
+    "compare_reports": report(("mom5", "std5", "logret")),
+    "signal_report": report(("mom5",)),
+    "ic_pvalue": WEEKLY_IC + "," + newey_west() + f" SELECT {r('mean')} AS mean, {r('se')} AS se, {r('t_stat')} AS t_stat, max_lag, n, {r(tail('t_stat'))} AS p_value FROM nw",
+    "sample_tickers": on(DAILY) + ", t AS (SELECT DISTINCT ticker FROM p ORDER BY md5(ticker || ':0'), ticker LIMIT 10) SELECT ticker, CAST(count(*) AS BIGINT) AS n FROM p WHERE ticker IN (SELECT ticker FROM t) GROUP BY ticker",
+    "normal_quantiles": on(DAILY, BASE) + " UNION ALL ".join(f"SELECT {k / 10!r}::DOUBLE AS p, {r(f'quantile_cont(logret, {k / 10!r}::DOUBLE)')} AS value, {r(f'{NormalDist().inv_cdf(k / 10)!r}::DOUBLE')} AS normal FROM b" for k in range(1, 10)),
 }
-#: The report's p-value has no SQL; its other fields are compared by a query without it.
-REPORT = {"compare_reports_stats": report(("mom5", "std5", "logret")), "signal_report_stats": report(("mom5",))}

@@ -208,6 +208,3 @@ QUERIES: dict[str, Query] = {
     "mp_bounds": lambda s, d: rounded(risk.mp_bounds(monthly(s, d))),
     "pairwise_correlations": lambda s, d: rounded(risk.pairwise_correlations(ft.add_log_returns(monthly(s, d)), "logret", ["1", "2", "3", "4"])),
 }
-# the p-values have no SQL; these are the other fields
-QUERIES["compare_reports_stats"] = lambda s, d: QUERIES["compare_reports"](s, d).drop("ic_pval_nw")
-QUERIES["signal_report_stats"] = lambda s, d: QUERIES["signal_report"](s, d).drop("ic_pval_nw")

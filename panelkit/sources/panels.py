@@ -61,5 +61,5 @@ def wide(panel: DataFrame, value: str, tickers: list[str] | None = None) -> Data
 
 def sample_tickers(panel: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """All rows of ``n`` tickers, drawn by a seeded hash, so the same ones each time."""
-    drawn = panel.select("ticker").distinct().orderBy(F.xxhash64("ticker", F.lit(seed)), "ticker").limit(n)
+    drawn = panel.select("ticker").distinct().orderBy(F.md5(F.concat_ws(":", "ticker", F.lit(seed)).cast("binary")), "ticker").limit(n)
     return panel.join(F.broadcast(drawn), "ticker", "left_semi")
