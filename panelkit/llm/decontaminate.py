@@ -17,7 +17,6 @@ repeated rows each give their own result row; repeated item ids are one item; em
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
