@@ -258,12 +258,12 @@ def linked_across(sets: DataFrame, own: DataFrame) -> DataFrame:
     known = firsts.join(reached, "set_id", "left").join(crowds.select("crowd", "members"), "crowd", "left")
     known = keep(known.select("set_id", F.col("firsts.value").alias("firsts"), F.coalesce("near", none).alias("near"), F.col("members").isNotNull().alias("crowded")), "minhash-near")
     # what stands before a shingle in its set: two sets meet at the first one that they share
-    prefix = heads.join(known, "set_id").withColumn("before", F.slice("firsts", F.lit(1), F.col("place") - 1))
-    small = prefix.where("place <= m - need_small + 1 AND most >= n").select("value", *[F.col(c).alias(f"{c}_a") for c in ("component", "crowd", "crowded", "near", "n", "most", "before")], F.col("set_id").alias("a"), band(F.col("n")).alias("band"))
+    prefix = heads.join(known, "set_id").withColumns({"before": F.slice("firsts", F.lit(1), F.col("place") - 1), "rest": F.col("m") - F.col("place") + 1})
+    small = prefix.where("place <= m - need_small + 1 AND most >= n").select("value", *[F.col(c).alias(f"{c}_a") for c in ("component", "crowd", "crowded", "near", "n", "most", "before", "rest")], F.col("set_id").alias("a"), band(F.col("n")).alias("band"))
     large = (
         prefix.withColumn("upto", F.least("n", "most"))
         .where("upto >= need_large")
-        .select("value", *[F.col(c).alias(f"{c}_b") for c in ("component", "crowd", "crowded", "near", "n", "before")], F.col("set_id").alias("b"), "upto", F.explode(F.sequence(band(F.col("need_large")), band(F.col("upto")))).alias("band"))
+        .select("value", *[F.col(c).alias(f"{c}_b") for c in ("component", "crowd", "crowded", "near", "n", "before", "rest")], F.col("set_id").alias("b"), "upto", F.explode(F.sequence(band(F.col("need_large")), band(F.col("upto")))).alias("band"))
     )
     meets = (
         small.join(large, ["value", "band"])
@@ -271,6 +271,8 @@ def linked_across(sets: DataFrame, own: DataFrame) -> DataFrame:
         .where("(NOT crowded_a OR array_contains(near_b, crowd_a)) AND (NOT crowded_b OR array_contains(near_a, crowd_b))")
         .where(_fits("n_a", "n_b"))
         .where("NOT arrays_overlap(before_a, before_b)")
+        # nothing before it is common, so no more can be than what is left of either set
+        .where(f"{all_} * least(rest_a, rest_b) >= {top} * (n_a + n_b)")
     )
     pairs = keep(meets.select("a", "b").distinct(), "minhash-rest")
     links = _confirmed(pairs, full, "minhash-rest")

@@ -168,10 +168,11 @@ def test_minhash(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-@pytest.mark.parametrize("crowd", [2, 16])
-def test_minhash_many_families(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd,carried", [(2, 600), (16, 20)])
+def test_minhash_many_families(spark, monkeypatch, crowd, carried):
     """Copies at all distances, around centres and in chains."""
     monkeypatch.setattr(minhash, "CROWD", crowd)
+    monkeypatch.setattr(minhash, "CARRIED", carried)
     rng = random.Random(4)
     rows = []
     for f in range(25):
