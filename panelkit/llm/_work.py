@@ -78,12 +78,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def position(df: DataFrame, name: str) -> int:
+    """Where a column stands: the one of exactly this name, else the one whose name differs in case only."""
+    same = [k for k, c in enumerate(df.columns) if c == name] or [k for k, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not same:
+        raise ValueError(f"no column {name}")
+    return same[0]
+
+
+def pick(df: DataFrame, **names: str) -> DataFrame:
+    """The columns ``names`` under their new names, whatever others there are, also ones of nearly the same name."""
+    own = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return own.select(*[F.col(f"c{position(df, c)}").alias(alias) for alias, c in names.items()])
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """Each row as one column ``row``, a struct of c0, c1, …"""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).select(F.struct("*").alias("row"))
+
+
 def numbered(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
     """``docs`` with columns c0, c1, … so that any names will do, and the name of its text as a string among them."""
     small_batches(docs.sparkSession)
-    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
-    at = [k for k, (c, kind) in enumerate(docs.dtypes) if c == text and kind == "string"]
-    if at:
-        return own, f"c{at[0]}"
-    place = next(k for k, c in enumerate(docs.columns) if c.lower() == text.lower())
+    own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    place = position(docs, text)
+    if docs.dtypes[place][1] == "string":
+        return own, f"c{place}"
     return own.withColumn("text", F.col(f"c{place}").cast("string")), "text"

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _tokens as tk
-from ._work import numbered, small_batches
+from ._work import numbered, pick, small_batches
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -189,7 +189,7 @@ _RESULT = "doc_id {kind}, n_words long, n_hit long, items array<string>, spans a
 
 def _blocks(spark: SparkSession, benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple]]:
     """The benchmark's rows in blocks of bounded size."""
-    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t"))
+    rows = pick(benchmark, i=item_id, t=text).select(F.col("i").cast("string").alias("i"), F.col("t").cast("string").alias("t"))
     size = rows.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 40)).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
     for k in range(n):
@@ -201,7 +201,7 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     """doc_id, n_words, n_hit, items, spans: per document the items found and the merged spans to remove, in words."""
     spark = docs.sparkSession
     small_batches(spark)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string"))
     kind = own.schema["doc_id"].dataType.simpleString()
     schema = _RESULT.format(kind=kind)
 
@@ -247,7 +247,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
             yield batch.filter(pa.array(clean)).select(range(width))
 
     kept = own.mapInArrow(work, own.select(own.columns[:width]).schema)
-    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return kept.toDF(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._work import keep
+from ._work import keep, pick
 
 COSINE = 0.95
 #: Most vectors of a block, and the least number of blocks (so that few vectors still make enough tiles for all cores).
@@ -131,7 +131,7 @@ def _tile(rows: pa.Table, cosine: float) -> pa.Table:
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row."""
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"))
+    rows = pick(vectors, vec_id=vec_id, embedding=embedding)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("set_id", F.when(valid, F.xxhash64("embedding")))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _tokens as tk
-from ._work import numbered, small_batches
+from ._work import numbered, pick, small_batches
 
 BUCKETS = 1 << 15
 MAX_GRAM = 3
@@ -150,7 +150,7 @@ class Model:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Count all labelled rows and take logarithms."""
     small_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    rows = pick(labelled, lang=lang, text=text).where("lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -193,7 +193,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score."""
     small_batches(docs.sparkSession)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = own.schema["doc_id"].dataType.simpleString()
 
@@ -227,15 +227,20 @@ def keep_known(docs: DataFrame, model: Model, text: str = "text", min_score: flo
             yield batch.filter(pa.array((name != "und") & (score >= min_score))).select(range(width))
 
     kept = own.mapInArrow(work, own.select(own.columns[:width]).schema)
-    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return kept.toDF(*docs.columns)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows that may be learned from: doc_id, text, lang."""
+    return pick(docs, doc_id=doc_id, text=text, lang=lang).where(~held_out(F.col("doc_id")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from the rows that aren't held out, and predict all ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(docs.where(~held_out(F.col("doc_id"))))
+    model = train(training_rows(docs))
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import _tokens as tk
 from ._bitmap import marked
 from ._components import components
-from ._work import forget, keep, small_batches
+from ._work import forget, keep, packed, pick, position, small_batches
 
 SHINGLE, K, MIN_SHARED = 5, 64, 30
 #: Similarity in hundredths, and how far below it an estimate may lie.
@@ -284,7 +284,7 @@ def linked_across(sets: DataFrame, own: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     small_batches(docs.sparkSession)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string"))
     rows = keep(sketches(own), "minhash-sketches")
     classes = keep(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "minhash-classes")
     linked = linked_classes(classes.where("low IS NOT NULL"), own)
@@ -299,12 +299,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that are kept; documents that stay surely don't move."""
     dropped = keep(near_duplicates(docs, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("_id")), "minhash-dropped")
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(doc_id).alias("_id"))
+    rows = packed(docs).withColumn("_id", F.col("row")[f"c{position(docs, doc_id)}"])
     both = marked(rows, F.col("_id"), dropped, "_id", "_maybe")
     sure = both.where("NOT _maybe").select("row")
     exact = both.where("_maybe").join(dropped.distinct(), "_id", "left_anti").select("row")
-    return sure.unionByName(exact).select("row.*")
+    return sure.unionByName(exact).select("row.*").toDF(*docs.columns)
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._work import forget, keep
+from ._work import forget, keep, packed, pick, position
 
 MAX_COPIES = 3
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -41,12 +41,15 @@ def source_key(source: Column) -> Column:
 
 
 def unit_columns(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    return docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("unit"),
-        source_key(F.col(source)).alias("skey"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    )
+    return pick(docs, doc_id=doc_id, text=text, source=source).select("doc_id", *_unit(F.col("doc_id"), F.col("text"), F.col("source")))
+
+
+def _unit(doc_id: Column, text: Column, source: Column) -> list[Column]:
+    return [
+        F.coalesce(doc_id.cast("string"), F.lit("")).alias("unit"),
+        source_key(source).alias("skey"),
+        F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+    ]
 
 
 def targets(units: DataFrame) -> DataFrame:
@@ -228,15 +231,13 @@ def mix_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 
     What decides is a few numbers per source, so the texts aren't shuffled.
     """
-    names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
     units = keep(unit_columns(docs, doc_id, text, source).groupBy("unit", "skey", "size").agg(F.count(F.lit(1)).alias("m")), "mix-units")
     params, n_sources = plan_mix(units)
-    wide = row.select("row", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("unit"), source_key(F.col("source")).alias("skey"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    wide = packed(docs).select("row", *_unit(*[F.col("row")[f"c{position(docs, c)}"] for c in (doc_id, text, source)]))
     copies = _rated(wide, params, n_sources).withColumn("copies", copies_column()).where("copies > 0 OR size = 0")
     # a document without words weighs nothing and is kept once
     times = F.greatest(F.col("copies"), F.lit(1).cast("long"))
-    return copies.select("row", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("copy")).select("row.*")
+    return copies.select("row", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("copy")).select("row.*").toDF(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

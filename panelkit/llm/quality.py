@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _tokens as tk
-from ._work import small_batches
+from ._work import pick, small_batches
 
 MAX_SAMPLE = 20_000
 BINS, TREES, DEPTH, RATE = 64, 80, 4, 0.15
@@ -203,12 +203,12 @@ def _statistics_of(batch: pa.RecordBatch) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_sample: int = MAX_SAMPLE) -> Forest:
     """Grow trees on a bounded sample of the labelled documents."""
     small_batches(docs.sparkSession)
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.avg(F.col(label).cast("double")).alias("y"))
+    known = pick(labels, doc_id=doc_id, y=label).where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.avg(F.col("y").cast("double")).alias("y"))
     n = known.count()
     place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 32) - 1))
     if n > max_sample:
         known = known.where(place < int((1 << 32) * 0.97 * max_sample / n)).orderBy(place, "doc_id").limit(max_sample)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    own = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string")).join(F.broadcast(known), "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def score(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score."""
     small_batches(docs.sparkSession)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string"))
     sent = docs.sparkSession.sparkContext.broadcast(forest)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._work import keep
+from ._work import keep, pick
 
 SCOPE = 400
 
@@ -68,7 +68,7 @@ def _found(text: Column, kind: str) -> Column:
 
 def parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rid, doc_id) of all rows, and (rid, kind, begin, end) of everything found, weak parts included."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    own = pick(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # numbered once, in the table that is kept; no later step numbers rows again
     scanned = keep(own.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *[_found(F.col("text"), k).alias(k) for k in KINDS]), "secret-scan")
     each = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(k).alias("found")) for i, k in enumerate(KINDS)])

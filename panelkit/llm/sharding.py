@@ -23,7 +23,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._work import keep
+from ._work import keep, pick
 
 N_SHARDS = 16
 VNODES = 512
@@ -112,9 +112,9 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, vnodes: int = VNODES, doc_i
     if n_shards < 1 or vnodes < 1:
         raise ValueError("n_shards and vnodes must be positive")
     spark = docs.sparkSession
-    body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     keys = (
-        docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+        pick(docs, doc_id=doc_id, text=text).select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
         .groupBy("doc_id", "size", "text_crc32")
         .agg(F.count(F.lit(1)).alias("m"))
         .withColumn("position", F.xxhash64("doc_id"))

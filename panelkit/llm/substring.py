@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import _tokens as tk
 from ._bitmap import marked
-from ._work import keep, small_batches
+from ._work import keep, pick, small_batches
 
 WINDOW, ANCHOR = 35, 16
 #: Words of a shard, within which repeats are settled before a shuffle, and bytes tokenized at once.
@@ -114,7 +114,7 @@ def _repeated(routed: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans (removed words, merged, end exclusive), kept (the text that is left)."""
     small_batches(docs.sparkSession)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
+    own = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string")).withColumn("k", F.xxhash64("doc_id", "text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     spread = window - anchor + 1
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import new_path
+from ._work import new_path, pick
 
 #: Payloads shorter than this are always stored as responses.
 MIN_REVISIT_BYTES = 1000
@@ -33,8 +33,8 @@ class Archive:
 
 def records_of_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: page_id, url, payload, digest."""
-    payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
-    return pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload")).withColumn(
+    payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    return pick(pages, page_id=page_id, url=url, html=html).select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn(
         "digest", F.unhex(F.sha2("payload", 256))
     )
 

@@ -47,9 +47,11 @@ def documents(seed: int = 0) -> list[tuple]:
 
 
 def frame(spark, rows: list[tuple], partitions: int = 3):
+    """With columns that clash with names in use, also with ``text`` itself but for case."""
     wide = [(*r, len(r[1] or ""), 7, 7, "r", "s", 7, "k", "v", 7) for r in rows]
-    return spark.createDataFrame(wide, SCHEMA).repartition(partitions)
+    out = spark.createDataFrame(wide, SCHEMA).repartition(partitions)
+    return out.toDF(*["Text" if c == "value" else "DOC_ID" if c == "m" else c for c in out.columns])
 
 
 def empty(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return frame(spark, [])

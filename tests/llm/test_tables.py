@@ -295,7 +295,7 @@ def test_pipeline(spark, tmp_path):
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "MinHash near-dedup", "benchmark decontamination", "mixing sources to target weights", "sharding"]
     rows = documents()
-    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     items = [(1, prose(60, 1001)), (2, prose(30, 200))]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
