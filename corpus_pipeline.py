@@ -7,7 +7,6 @@ shards. A stage sees all rows that its predecessor kept, and no others.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelkit.llm import decontaminate, language_id, minhash, mixing, sharding
 from panelkit.llm._work import keep
@@ -18,7 +17,7 @@ ORACLE_SQL = None
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a clear language go."""
-    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    model = language_id.train(language_id.training_rows(docs))
     return language_id.keep_known(docs, model)
 
 
