@@ -21,4 +21,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op4_minhash": minhash.OP4_SQL, "op8_embedding": embedding.OP8_SQL, "op10_substring": substring.OP10_SQL}
+    return {
+        "op1_warc": warc.OP1_SQL,
+        "op2_decontaminate": decontaminate.OP2_SQL,
+        "op4_minhash": minhash.OP4_SQL,
+        "op7_secrets": secrets.OP7_SQL,
+        "op8_embedding": embedding.OP8_SQL,
+        "op10_substring": substring.OP10_SQL,
+    }

@@ -129,3 +129,31 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_text(F.filter("findings", lambda x: x["kind"] < BASE)), 256).alias("base_sha256"),
         _text(F.col("findings")).alias("spans"),
     )
+
+
+def _sql() -> str:
+    """The same findings in DuckDB SQL; its patterns know no look-around, so a key is a whole run of 40 characters."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    runs = r"[A-Za-z0-9+/=_-]+"
+    patterns = {**_PATTERNS, "key": runs}
+    holds = {"assign": f"length(regexp_extract_all(text, {quoted(ASSIGN)}, 2)[i]) >= {ASSIGN_VALUE}", "access": f"length(m[i]) >= {ACCESS_LENGTH}", "key": "regexp_full_match(m[i], '[A-Za-z0-9+/]{40}')"}
+    parts = " UNION ALL ".join(
+        f"SELECT rid, {k} AS kind, {holds.get(name, 'TRUE')} AS ok, length(m[i]) AS size, sum(length(g[i]) + length(m[i])) OVER (PARTITION BY rid ORDER BY i) AS e "
+        f"FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, text, regexp_extract_all(text, {quoted(patterns[name])}) AS m, string_split_regex(text, {quoted(patterns[name])}) AS g FROM d))"
+        for k, name in enumerate(KINDS)
+    )
+    near = lambda kinds: f"EXISTS (SELECT 1 FROM f o WHERE o.rid = f.rid AND o.kind IN {kinds} AND abs(o.b - f.b) <= {SCOPE})"
+    name = "CASE kind " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(KINDS)) + " END"
+    one = f"{name} || ':' || b || ':' || e"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+x AS ({parts}),
+f AS (SELECT rid, kind, CAST(e - size AS BIGINT) AS b, CAST(e AS BIGINT) AS e FROM x WHERE ok),
+s AS (SELECT * FROM f WHERE kind < 3 OR (kind = 4 AND {near('(1, 3)')}) OR (kind = 3 AND {near('(0, 2, 4)')}) OR (kind = 5 AND {near('(1, 3)')} AND {near('(0, 2, 4)')})),
+t AS (SELECT rid, CAST(count(*) FILTER (WHERE kind = 0) AS BIGINT) AS n_assign, CAST(count(*) FILTER (WHERE kind = 1) AS BIGINT) AS n_access, CAST(count(*) FILTER (WHERE kind = 2) AS BIGINT) AS n_hex,
+             string_agg({one}, ',' ORDER BY b, kind) FILTER (WHERE kind < 3) AS base, string_agg({one}, ',' ORDER BY b, kind) AS spans FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN t USING (rid)"""
+
+
+OP7_SQL = _sql()
