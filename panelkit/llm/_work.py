@@ -74,7 +74,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Let rows go to Python workers in batches of bounded bytes: batches bounded by rows alone grow with the texts."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
