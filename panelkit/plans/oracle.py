@@ -340,6 +340,7 @@ SELECT lag, {r('avg(r)')} AS mean, {r('stddev_samp(r)')} AS std, CAST(count(r) A
     "unique_counts": on(DAILY) + "SELECT CAST(count(DISTINCT ticker) AS BIGINT) AS n_tickers, CAST(count(DISTINCT date) AS BIGINT) AS n_dates, CAST(count(*) AS BIGINT) AS n_rows FROM p",
     "rows_per_ticker": on(DAILY) + "SELECT ticker, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY ticker",
     "pivot_wide": on(DAILY) + "SELECT date, " + ", ".join(f"{r(f'''max(close) FILTER (WHERE ticker = '{k}')''')} AS t{k}" for k in range(1, 6)) + " FROM p GROUP BY date",
+    "pivot_wide_all": on(DAILY) + f"SELECT date, list({{'ticker': ticker, 'value': {r('close')}}} ORDER BY ticker) AS cells FROM p GROUP BY date",
     "latest_cross_section": on(DAILY, BASE) + f"SELECT ticker, date, {', '.join(r(c) + ' AS ' + c for c in ('close', 'logret', 'fwdret', 'mom5', 'std5'))} FROM b WHERE date = (SELECT max(date) FROM b)",
     "mp_bounds": on(MONTHLY) + f", s AS (SELECT count(DISTINCT ticker) AS a, count(DISTINCT date) AS o FROM p) SELECT CAST(a AS BIGINT) AS n_assets, CAST(o AS BIGINT) AS n_obs, {r('power(1 - sqrt(a / CAST(o AS DOUBLE)), 2)')} AS low, {r('power(1 + sqrt(a / CAST(o AS DOUBLE)), 2)')} AS high FROM s",
     "pairwise_correlations": on(MONTHLY, RETURNS) + f"SELECT a.ticker AS i, b.ticker AS j, {r(pearson('a.logret', 'b.logret'))} AS corr FROM r a JOIN r b USING (date) WHERE a.ticker < b.ticker AND a.ticker IN ('1','2','3','4') AND b.ticker IN ('1','2','3','4') GROUP BY 1, 2",

@@ -122,6 +122,10 @@ def pivot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(panels.wide(prices(spark, sf_dir), "close", ["1", "2", "3", "4", "5"]).select("date", *[F.col(f"`{k}`").alias(f"t{k}") for k in range(1, 6)]))
 
 
+def pivot_wide_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.wide_cells(rounded(prices(spark, sf_dir).select("ticker", "date", "close")), "close")
+
+
 QUERIES: dict[str, Query] = {
     # sources and cleaning
     "etl_clean_prices": etl_clean_prices,
@@ -202,6 +206,7 @@ QUERIES: dict[str, Query] = {
     "unique_counts": lambda s, d: inspection.unique_counts(prices(s, d)),
     "rows_per_ticker": lambda s, d: inspection.rows_per_ticker(prices(s, d)),
     "pivot_wide": pivot_wide,
+    "pivot_wide_all": pivot_wide_all,
     "latest_cross_section": lambda s, d: rounded(inspection.latest(base(s, d))),
     "normal_quantiles": lambda s, d: rounded(inspection.normal_quantiles(base(s, d), "logret", 9)),
     # correlation structure

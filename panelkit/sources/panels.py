@@ -59,6 +59,12 @@ def wide(panel: DataFrame, value: str, tickers: list[str] | None = None) -> Data
     return panel.groupBy("date").pivot("ticker", tickers).agg(F.first(value))
 
 
+def wide_cells(panel: DataFrame, value: str) -> DataFrame:
+    """date, cells: one row per date with (ticker, value) of all its tickers, in their order; the schema holds for any tickers."""
+    first = panel.groupBy("ticker", "date").agg(F.first(value).alias("value"))
+    return first.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("ticker", "value"))).alias("cells"))
+
+
 def sample_tickers(panel: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """All rows of ``n`` tickers, drawn by a seeded hash, so the same ones each time."""
     drawn = panel.select("ticker").distinct().orderBy(F.md5(F.concat_ws(":", "ticker", F.lit(seed)).cast("binary")), "ticker").limit(n)

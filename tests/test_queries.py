@@ -20,3 +20,11 @@ def test_every_query_has_sql():
 def test_query_equals_its_sql(spark, name):
     rows, mine, wanted = differing_rows(QUERIES[name](spark, SF), ORACLE[name], SF)
     assert rows > 0 and mine == [] and wanted == []
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_the_wide_panel_has_every_cell(spark):
+    cells = QUERIES["pivot_wide_all"](spark, SF).selectExpr("date", "inline(cells)").select("ticker", "date", "value")
+    wanted = QUERIES["panel_daily"](spark, SF).select("ticker", "date", "close")
+    assert wanted.select("ticker").distinct().count() > 5
+    assert cells.exceptAll(wanted).isEmpty() and wanted.exceptAll(cells).isEmpty()
