@@ -221,9 +221,10 @@ def moments_per_date(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy("date").agg(F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"))
 
 
-def heatmap(df: DataFrame, col: str, tickers: list[str]) -> DataFrame:
-    """The (ticker, date, value) cells of a heat map of some tickers."""
-    return df.where(F.col("ticker").isin(tickers)).select("ticker", "date", F.col(col).alias("value"))
+def heatmap(df: DataFrame, col: str, tickers: list[str] | None = None) -> DataFrame:
+    """The (ticker, date, value) cells of a heat map of all tickers, or of some."""
+    some = df if tickers is None else df.where(F.col("ticker").isin(tickers))
+    return some.select("ticker", "date", F.col(col).alias("value"))
 
 
 def one_pager(df: DataFrame, signal_col: str) -> DataFrame:

@@ -324,6 +324,7 @@ SELECT lag, {r('avg(r)')} AS mean, {r('stddev_samp(r)')} AS std, CAST(count(r) A
     "moments_per_date": on(DAILY, BASE) + f"SELECT date, {r('avg(mom5)')} AS mean, {r('stddev_samp(mom5)')} AS std FROM b GROUP BY date",
     "one_pager": on(DAILY, BASE) + f"SELECT date, CAST(count(mom5) AS BIGINT) AS n, {r('avg(mom5)')} AS mean, {r('stddev_samp(mom5)')} AS std FROM b GROUP BY date",
     "heatmap": on(DAILY, BASE) + f"SELECT ticker, date, {r('mom5')} AS value FROM b WHERE ticker IN ('1', '2', '3')",
+    "heatmap_all": on(DAILY, BASE) + f"SELECT ticker, date, {r('mom5')} AS value FROM b",
     "bh": FDR + "SELECT signal, survives_bh FROM out",
     "by": FDR + "SELECT signal, survives_by FROM out",
     "pi0": FDR + f"SELECT {r('pi0')} AS pi0 FROM pz",

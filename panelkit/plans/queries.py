@@ -187,6 +187,7 @@ QUERIES: dict[str, Query] = {
     "moments_per_date": lambda s, d: rounded(ev.moments_per_date(base(s, d), "mom5")),
     "one_pager": lambda s, d: rounded(ev.one_pager(base(s, d), "mom5")),
     "heatmap": lambda s, d: rounded(ev.heatmap(base(s, d), "mom5", ["1", "2", "3"])),
+    "heatmap_all": lambda s, d: rounded(ev.heatmap(base(s, d), "mom5")),
     # multiple testing
     "bh": lambda s, d: fdr.benjamini_hochberg(pvalues(s, d), 0.2).select("signal", "survives_bh"),
     "by": lambda s, d: fdr.benjamini_yekutieli(pvalues(s, d), 0.2).select("signal", "survives_by"),
