@@ -345,6 +345,7 @@ SELECT lag, {r('avg(r)')} AS mean, {r('stddev_samp(r)')} AS std, CAST(count(r) A
     "latest_cross_section": on(DAILY, BASE) + f"SELECT ticker, date, {', '.join(r(c) + ' AS ' + c for c in ('close', 'logret', 'fwdret', 'mom5', 'std5'))} FROM b WHERE date = (SELECT max(date) FROM b)",
     "mp_bounds": on(MONTHLY) + f", s AS (SELECT count(DISTINCT ticker) AS a, count(DISTINCT date) AS o FROM p) SELECT CAST(a AS BIGINT) AS n_assets, CAST(o AS BIGINT) AS n_obs, {r('power(1 - sqrt(a / CAST(o AS DOUBLE)), 2)')} AS low, {r('power(1 + sqrt(a / CAST(o AS DOUBLE)), 2)')} AS high FROM s",
     "pairwise_correlations": on(MONTHLY, RETURNS) + f"SELECT a.ticker AS i, b.ticker AS j, {r(pearson('a.logret', 'b.logret'))} AS corr FROM r a JOIN r b USING (date) WHERE a.ticker < b.ticker AND a.ticker IN ('1','2','3','4') AND b.ticker IN ('1','2','3','4') GROUP BY 1, 2",
+    "pairwise_correlations_all": on(MONTHLY, RETURNS) + f"SELECT a.ticker AS i, b.ticker AS j, {r(pearson('a.logret', 'b.logret'))} AS corr FROM r a JOIN r b USING (date) WHERE a.ticker < b.ticker GROUP BY 1, 2",
     "compare_reports": report(("mom5", "std5", "logret")),
     "signal_report": report(("mom5",)),
     "ic_pvalue": WEEKLY_IC + "," + newey_west() + f" SELECT {r('mean')} AS mean, {r('se')} AS se, {r('t_stat')} AS t_stat, max_lag, n, {r(tail('t_stat'))} AS p_value FROM nw",

@@ -213,4 +213,5 @@ QUERIES: dict[str, Query] = {
     # correlation structure
     "mp_bounds": lambda s, d: rounded(risk.mp_bounds(monthly(s, d))),
     "pairwise_correlations": lambda s, d: rounded(risk.pairwise_correlations(ft.add_log_returns(monthly(s, d)), "logret", ["1", "2", "3", "4"])),
+    "pairwise_correlations_all": lambda s, d: rounded(risk.all_correlations(ft.add_log_returns(monthly(s, d)), "logret")),
 }

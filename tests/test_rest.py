@@ -102,6 +102,21 @@ def test_risk():
     assert len(set(names)) == 3 and all(len(set(names[k : k + 4])) == 1 for k in (0, 4, 8))
 
 
+def test_all_correlations_equal_the_pairwise_ones(spark, monkeypatch):
+    monkeypatch.setattr(risk, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    rows = [(f"t{t}", d, None if rng.random() < 0.1 else float(rng.normal())) for t in range(20) for d in range(30) if rng.random() < 0.8]
+    rows += [("flat", d, 0.1) for d in range(30)] + [("steps", d, 0.1 if d < 15 else 0.3) for d in range(30)] + [("half", d, float(d % 4)) for d in range(15)]
+    rows += [("once", 3, 1.0), ("empty", 4, None), ("apart", 99, 1.0)]
+    df = spark.createDataFrame(rows, "ticker string, date int, x double")
+    got = {(r["i"], r["j"]): r["corr"] for r in risk.all_correlations(df, "x").collect()}
+    wanted = {(r["i"], r["j"]): r["corr"] for r in risk.pairwise_correlations(df, "x", sorted({r[0] for r in rows})).collect()}
+    assert got.keys() == wanted.keys() and len(got) > 20 * 19 / 2
+    assert got["flat", "t1"] is None and got["half", "steps"] is None
+    for k, v in wanted.items():
+        assert got[k] is None if v is None else got[k] == pytest.approx(v, abs=1e-9), k
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
