@@ -255,11 +255,10 @@ def corr_rows(columns: tuple[str, ...]) -> str:
     return on(DAILY, BASE) + ", cc AS (SELECT * FROM b WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in columns) + ") " + " UNION ALL ".join(one)
 
 
-def all_features() -> str:
-    windows = (5, 20, 60, 252)
+def all_features(windows: tuple[int, ...] = (5, 20, 60, 252), betas: tuple[int, ...] = (60,)) -> str:
     cols = ", ".join([*(r(lagged(n), 6) + f" AS mom{n}" for n in windows), *(r(full("stddev_samp(logret)", "logret", n), 6) + f" AS std{n}" for n in windows), *(r("ln(" + full("avg(close * volume)", "close", n) + ")", 6) + f" AS log_adv{n}" for n in windows)])
     fwd = "lead(logret) OVER (PARTITION BY ticker ORDER BY date)"
-    inner = beta((60,), WEEKLY, 20).rsplit("SELECT ticker", 1)
+    inner = beta(betas, WEEKLY, 20).rsplit("SELECT ticker", 1)
     return inner[0] + f"SELECT {r('close')} AS close, volume, {r('logret', 6)} AS logret, {r(fwd, 6)} AS fwdret, {r('mkt', 6)} AS mkt_logret, nt AS n_tickers, {r('close * volume')} AS dollar_volume, {cols}, ticker" + inner[1]
 
 
@@ -285,6 +284,7 @@ ORACLE: dict[str, str] = {
     "rolling_beta": beta((5, 10), DAILY, 100),
     "rolling_beta_weekly": beta((60, 252), WEEKLY, 20),
     "features_all": all_features(),
+    "features_all_windows": all_features((5, 10, 20, 60, 120, 252), (60, 252)),
     "missing_days": on(DAILY) + "SELECT ticker, date, CAST(date_diff('day', lag(date) OVER (PARTITION BY ticker ORDER BY date), date) - 1 AS INT) AS missing_days FROM p",
     "zscore": signal(z(), "mom5_z"),
     "zscore_desc": signal(z("mom5", "-"), "mom5_z"),

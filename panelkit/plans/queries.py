@@ -77,7 +77,15 @@ def market_var(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features on the weekly panel, with windows up to 252."""
-    df = ft.build_features(weekly(spark, sf_dir), (60,), (5, 20, 60, 252), min_tickers=20)
+    return _features(ft.build_features(weekly(spark, sf_dir), (60,), (5, 20, 60, 252), min_tickers=20))
+
+
+def features_all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features on the weekly panel, with all windows that the operator builds by itself."""
+    return _features(ft.build_features(weekly(spark, sf_dir), min_tickers=20))
+
+
+def _features(df: DataFrame) -> DataFrame:
     exact = ("close", "dollar_volume")  # quotients of decimals: fewer decimals would put some on the edge of rounding
     columns = [c for c in df.columns if c not in ("open", "high", "low")]
     return df.select(*[(F.round(c, 9 if c in exact else 6) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.select(*columns).dtypes])
@@ -147,6 +155,7 @@ QUERIES: dict[str, Query] = {
     "rolling_beta": _returns(lambda df: ft.add_beta(df, [5, 10]), "beta5", "beta10", digits=6),
     "rolling_beta_weekly": rolling_beta_weekly,
     "features_all": features_all,
+    "features_all_windows": features_all_windows,
     "missing_days": _daily(ft.missing_days, "missing_days"),
     # signals per date
     "zscore": _signal(signals.zscore_expr, "mom5_z"),

@@ -28,3 +28,9 @@ def test_the_wide_panel_has_every_cell(spark):
     wanted = QUERIES["panel_daily"](spark, SF).select("ticker", "date", "close")
     assert wanted.select("ticker").distinct().count() > 5
     assert cells.exceptAll(wanted).isEmpty() and wanted.exceptAll(cells).isEmpty()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_all_windows_are_built(spark):
+    built = {f"{c}{n}" for c in ("mom", "std", "log_adv") for n in (5, 10, 20, 60, 120, 252)} | {"beta60", "beta252"}
+    assert built <= set(QUERIES["features_all_windows"](spark, SF).columns)
