@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _tokens as tk
@@ -74,7 +74,7 @@ def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def sketches(own: DataFrame) -> DataFrame:
-    """doc_id, set_id, n, sketch (as signed numbers, in the order of the unsigned)."""
+    """doc_id, text_key, set_id, n, sketch (as signed numbers, in the order of the unsigned). own: doc_id, text, text_key."""
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,9 +84,14 @@ def sketches(own: DataFrame) -> DataFrame:
                 ids.append(set_id(x) if len(x) else None)
                 n.append(len(x))
                 low.append(x[:K].view(np.int64).copy())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), _lists(low)], names=["doc_id", "set_id", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), _lists(low)], names=["doc_id", "text_key", "set_id", "n", "sketch"])
 
-    return own.mapInArrow(work, f"doc_id {kind}, set_id long, n long, sketch array<long>")
+    return own.mapInArrow(work, f"doc_id {kind}, text_key long, set_id long, n long, sketch array<long>")
+
+
+def _key() -> Column:
+    """What a row's text is found by, never null: its id, or where that is null its text."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.col("text_key"))
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
@@ -104,23 +109,22 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
 
 def _similar(pairs: DataFrame, classes: DataFrame, own: DataFrame, tag: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("low").alias(f"low_{x}"))
+    side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("key").alias(f"key_{x}"))
 
     def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("sketch_a"), batch.column("sketch_b")
             n_a, n_b = batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()
             likely = [100 * estimate(a[i].values.to_numpy(), b[i].values.to_numpy(), n_a[i], n_b[i]) >= SIMILARITY - (SLACK if max(n_a[i], n_b[i]) > K else 0) - 1e-9 for i in range(batch.num_rows)]
-            yield batch.select(["a", "b", "low_a", "low_b"]).filter(pa.array(likely, pa.bool_()))
+            yield batch.select(["a", "b", "key_a", "key_b"]).filter(pa.array(likely, pa.bool_()))
 
-    kind = classes.schema["low"].dataType.simpleString()
-    likely = keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimated, f"a long, b long, low_a {kind}, low_b {kind}"), f"{tag}-likely")
-    needed = likely.select(F.explode(F.array(F.struct(F.col("a").alias("set_id"), F.col("low_a").alias("low")), F.struct(F.col("b").alias("set_id"), F.col("low_b").alias("low")))).alias("x")).select("x.*").distinct()
+    likely = keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimated, "a long, b long, key_a long, key_b long"), f"{tag}-likely")
+    needed = likely.select(F.explode(F.array(F.struct(F.col("a").alias("set_id"), F.col("key_a").alias("key")), F.struct(F.col("b").alias("set_id"), F.col("key_b").alias("key")))).alias("x")).select("x.*").distinct()
     return _confirmed(likely.select("a", "b"), full_sets(needed, own, tag), tag)
 
 
 def full_sets(needed: DataFrame, own: DataFrame, tag: str) -> DataFrame:
-    """set_id, shingles of the classes in ``needed`` (set_id, low), from the texts of their documents.
+    """set_id, shingles of the classes in ``needed`` (set_id, key), from the texts of their documents.
 
     Texts of documents that stand for none of them don't move.
     """
@@ -132,7 +136,7 @@ def full_sets(needed: DataFrame, own: DataFrame, tag: str) -> DataFrame:
                 found = [x for x in sets_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), _lists([x.view(np.int64) for x in found])], names=["set_id", "shingles"])
 
-    some = marked(own, F.col("doc_id"), needed, "low", "wanted").where("wanted").select("text")
+    some = marked(own, _key(), needed, "key", "wanted").where("wanted").select("text")
     sets = some.mapInArrow(full, "set_id long, shingles array<long>").join(needed.select("set_id").distinct(), "set_id", "left_semi")
     return keep(sets.groupBy("set_id").agg(F.any_value("shingles").alias("shingles")), f"{tag}-sets")
 
@@ -165,7 +169,7 @@ def _fits(n_a: str, n_b: str):
 
 
 def linked_classes(classes: DataFrame, own: DataFrame) -> DataFrame:
-    """node (set_id), component. classes: set_id, n, low (a document id of the class), sketch."""
+    """node (set_id), component. classes: set_id, n, key (of a document of the class), sketch."""
     values = classes.select("set_id", "n", F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = values.join(often, "value")
@@ -201,7 +205,7 @@ def linked_classes(classes: DataFrame, own: DataFrame) -> DataFrame:
     # what is left: sets of one list in different components
     named = entries.select("value", "set_id").join(first.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     mixed = named.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
-    open_ = keep(named.join(mixed, "value", "left_semi").select("set_id", "component").distinct().join(classes.select("set_id", "n", "low"), "set_id"), "minhash-open")
+    open_ = keep(named.join(mixed, "value", "left_semi").select("set_id", "component").distinct().join(classes.select("set_id", "n", "key"), "set_id"), "minhash-open")
     more = linked_across(open_, own)
     for x in (star, lists):
         forget(x)
@@ -211,7 +215,7 @@ def linked_classes(classes: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def linked_across(sets: DataFrame, own: DataFrame) -> DataFrame:
-    """All links (a, b) between sets of different components, by their full sets. sets: set_id, component, n, low.
+    """All links (a, b) between sets of different components, by their full sets. sets: set_id, component, n, key.
 
     With the shingles of each set ordered rarest first, two similar sets share one of the first ``n - need + 1``: the
     larger set needs 3/4 of its shingles in common, the smaller one 6/7. Only shingles that sets of two components hold
@@ -220,7 +224,7 @@ def linked_across(sets: DataFrame, own: DataFrame) -> DataFrame:
     a crowd: a set only meets its members if enough of its shingles are held by the crowd as a whole. So variants that
     are too far from a large family never meet its members one by one.
     """
-    full = full_sets(sets.select("set_id", "low"), own, "minhash-open")
+    full = full_sets(sets.select("set_id", "key"), own, "minhash-open")
     # intersection >= s / (100 + s) * (sum of sizes), in integers
     top, all_ = SIMILARITY, 100 + SIMILARITY
     need = lambda total: F.expr(f"({top} * ({total}) + {all_ - 1}) div {all_}")
@@ -284,10 +288,10 @@ def linked_across(sets: DataFrame, own: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     small_batches(docs.sparkSession)
-    own = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string"))
+    own = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text"))
     rows = keep(sketches(own), "minhash-sketches")
-    classes = keep(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "minhash-classes")
-    linked = linked_classes(classes.where("low IS NOT NULL"), own)
+    classes = keep(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.min(_key()).alias("key"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "minhash-classes")
+    linked = linked_classes(classes, own)
     named = classes.select("set_id", "low").join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
     by_class = keep(named.join(least, "component").select("set_id", "component_id"), "minhash-components")

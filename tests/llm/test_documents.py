@@ -168,6 +168,18 @@ def test_minhash(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_minhash_near_copies_with_null_ids(spark):
+    """A null id is found among its near copies, and links two documents that only resemble each other through it."""
+    chain = prose(120, 700).split()
+    far = lambda *at: " ".join(f"new{k}" if k in at else w for k, w in enumerate(chain))
+    rows = [r[:2] for r in documents()] + [(None, prose(30_000, 1003) + " " + prose(7, 701)), (600, far(10, 50)), (None, far(10, 50, 90)), (601, far(10, 50, 90, 30, 70))]
+    rows += [(None, prose(60, 702)), (None, prose(60, 702) + " more"), (602, prose(80, 703)), (None, prose(80, 703))]
+    wanted = brute_minhash(rows)
+    assert sum(d is None and c is not None for d, _, c in wanted) == 3
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert ordered((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == wanted
+
+
 @pytest.mark.parametrize("crowd,carried", [(2, 600), (16, 20)])
 def test_minhash_many_families(spark, monkeypatch, crowd, carried):
     """Copies at all distances, around centres and in chains."""
