@@ -287,6 +287,11 @@ def linked_across(sets: DataFrame, own: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
+    return _decided(docs, doc_id, text).drop("text_key")
+
+
+def _decided(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``near_duplicates`` with ``text_key``, the hash of the row's text."""
     small_batches(docs.sparkSession)
     own = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text"))
     rows = keep(sketches(own), "minhash-sketches")
@@ -295,18 +300,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = classes.select("set_id", "low").join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
     by_class = keep(named.join(least, "component").select("set_id", "component_id"), "minhash-components")
-    full = rows.where("n > 0").select("doc_id", "n", "set_id").join(by_class, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    full = rows.where("n > 0").select("doc_id", "text_key", "n", "set_id").join(by_class, "set_id").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id")
+    empty = rows.where("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that are kept; documents that stay surely don't move."""
-    dropped = keep(near_duplicates(docs, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("_id")), "minhash-dropped")
-    rows = packed(docs).withColumn("_id", F.col("row")[f"c{position(docs, doc_id)}"])
-    both = marked(rows, F.col("_id"), dropped, "_id", "_maybe")
+    dropped = keep(_decided(docs, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).distinct().withColumn("_both", F.xxhash64("_id", "_text")), "minhash-dropped")
+    rows = packed(docs).withColumns({"_id": F.col("row")[f"c{position(docs, doc_id)}"], "_text": F.xxhash64(F.col("row")[f"c{position(docs, text)}"].cast("string"))})
+    both = marked(rows, F.xxhash64("_id", "_text"), dropped, "_both", "_maybe")
     sure = both.where("NOT _maybe").select("row")
-    exact = both.where("_maybe").join(dropped.distinct(), "_id", "left_anti").select("row")
+    # by id and text, as each row follows its own decision, whatever other rows have its id
+    exact = both.where("_maybe").alias("r").join(dropped.alias("d"), F.col("r._id").eqNullSafe(F.col("d._id")) & (F.col("r._text") == F.col("d._text")), "left_anti").select("row")
     return sure.unionByName(exact).select("row.*").toDF(*docs.columns)
 
 

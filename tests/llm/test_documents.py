@@ -210,6 +210,13 @@ def test_minhash_empty_and_filter(spark):
     assert minhash.keep_first(empty(spark)).count() == 0
 
 
+def test_each_row_follows_its_own_decision(spark):
+    """Near copies with null ids go; a text whose id a duplicate has too stays."""
+    rows = [(1, prose(80, 710)), (None, prose(80, 710)), (2, prose(80, 710) + " more"), (2, prose(80, 711)), (None, prose(50, 712)), (3, None), (None, None)]
+    kept = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter(rows[k] for k in (0, 3, 4, 5, 6))
+
+
 def brute_substring(rows, window=35):
     words = [BLANK.findall(t or "") for _, t in rows]
     seen = Counter(tuple(w[k : k + window]) for w in words for k in range(len(w) - window + 1))
