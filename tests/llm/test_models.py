@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -53,13 +57,78 @@ def test_language_score_by_hand():
     model = language_id.Model(["a", "b"], np.log([0.5, 0.5]), np.log(np.random.default_rng(0).dirichlet(np.ones(language_id.BUCKETS), 2)))
     data, offsets = tk.text_buffer(pa.array(["hello there", "xyz"]))
     points, row, _ = language_id.normalised(data, offsets)
-    best, score = model.score(points, row, 2)
     bucket, at = language_id.grams(points, row)
+    best, score = model.decide(*model.sums(bucket, at, 2))
     for k in range(2):
         total = model.log_prior + model.log_prob[:, bucket[at == k]].sum(axis=1)
         assert best[k] == total.argmax() and 0.5 <= score[k] <= 1
 
 
+def brute_grams(text, buckets=language_id.BUCKETS):
+    """Buckets of all grams, by way of a string."""
+    marks = "".join(c.lower() if unicodedata.category(c)[0] == "L" and len(c.lower()) == 1 else c if unicodedata.category(c)[0] in "LM" else " " for c in text or "")
+    line = " " + re.sub(" +", " ", marks).lstrip(" ")
+    out = []
+    for end in range(1, len(line)):
+        for size in range(1, 4):
+            if end - size + 1 < 0 or (size == 1 and line[end] == " "):
+                continue
+            code = 0
+            for c in line[end - size + 1 : end + 1]:
+                code = (code << 21 | ord(c)) % 2**64
+            out.append((((code * 0x9E3779B97F4A7C15 % 2**64) ^ (size * 0x51ED270B)) * 0xD6E8FEB86659FD93 % 2**64) >> (64 - buckets.bit_length() + 1))
+    return out
+
+
+def has_letter(text):
+    return any(unicodedata.category(c)[0] == "L" for c in text or "")
+
+
+@pytest.mark.parametrize("slice_bytes", [40, 1 << 20])
+def test_language_by_brute_force(spark, monkeypatch, slice_bytes):
+    """Counts, probabilities and scores of the whole model, also of texts that come in many pieces."""
+    monkeypatch.setattr(language_id, "SLICE_BYTES", slice_bytes)
+    rows = [r for r in documents() if len(r[1] or "") < 9000] + [(900, "\u0301\u0308 \u0301", "en", "a"), (901, "\U00010400\U0001d11e x", "zz", "a"), (902, "12 34", "qq", "a"), (903, "a\u0301 ", "fr", "a")]
+    counts, docs = {}, Counter()
+    for _, text, lang, _ in rows:
+        if lang is not None:
+            counts.setdefault(lang, Counter()).update(brute_grams(text))
+            docs[lang] += has_letter(text)
+    names = sorted(x for x in docs if docs[x])
+    prob = {x: lambda b, c=counts[x], n=sum(counts[x].values()): math.log((c[b] + language_id.SMOOTHING) / (n + language_id.SMOOTHING * language_id.BUCKETS)) for x in names}
+    df = frame(spark, rows)
+    # scored here and not by a worker, which doesn't know the changed size
+    batch = pa.record_batch({"lang": pa.array([r[2] for r in rows]), "text": pa.array([r[1] for r in rows])})
+    model = language_id.train(df)
+    assert model.languages == names
+    for k, x in enumerate(names):
+        assert model.log_prior[k] == pytest.approx(math.log(docs[x] / sum(docs.values())))
+        assert model.log_prob[k].tolist() == pytest.approx([prob[x](b) for b in range(language_id.BUCKETS)])
+    pred, score = language_id._predicted(model, batch)
+    for (_, text, _, _), mine, own in zip(rows, pred, score, strict=True):
+        if not has_letter(text):
+            assert (mine, own) == ("und", 0.0)
+            continue
+        found = brute_grams(text)
+        total = [model.log_prior[k] + sum(prob[x](b) for b in found) for k, x in enumerate(names)]
+        best = max(range(len(names)), key=lambda k: total[k])
+        share = [math.exp((t - total[best]) * min(1, language_id.TEMPERED_GRAMS / len(found))) for t in total]
+        assert mine == names[best] and own == pytest.approx(1 / sum(share), rel=1e-6)
+
+
+@pytest.mark.parametrize("texts", [[None] * 5, [""] * 5, ["12 34", "!?", " "], ["\u0301\u0301", None], [None, "", "--"]])
+def test_language_of_nothing(spark, texts):
+    """Whole tables, and so whole batches, without a letter."""
+    known = language_id.train(frame(spark, documents()))
+    for partitions in (1, 4):
+        docs = frame(spark, [(k, t, "en", "a") for k, t in enumerate(texts)], partitions)
+        got = language_id.predict(docs, known).collect()
+        assert len(got) == len(texts) and {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
+        assert language_id.keep_known(docs, known).count() == 0
+        nothing = language_id.train(docs)
+        assert nothing.languages == [] and language_id.predict(docs, nothing).where("lang_pred <> 'und'").count() == 0
+
+
 def test_quality_held_out(spark):
     out = quality.op3_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     rows = out.where("held_out").collect()
