@@ -106,3 +106,23 @@ def numbered(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
     if docs.dtypes[place][1] == "string":
         return own, f"c{place}"
     return own.withColumn("text", F.col(f"c{place}").cast("string")), "text"
+
+
+#: Rows that one row of a task is repeated into at most.
+CHUNK = 4096
+
+
+def repeated(df: DataFrame, times: str, key: list[str], most: int, index: str) -> DataFrame:
+    """Each row as often as its column ``times`` says, numbered from 0 in ``index``. ``most``: no row has more times.
+
+    A row with more than ``CHUNK`` is dealt into ranges first, and these are spread over all tasks by ``key`` and range.
+    """
+    numbers = lambda d: d.withColumn(index, F.explode(F.sequence(F.col("_from"), F.col("_to")))).drop("_from", "_to")
+    one = F.lit(0).cast("long")
+    few = numbers(df.where(F.col(times).between(1, CHUNK)).withColumns({"_from": one, "_to": F.col(times).cast("long") - 1}))
+    if most <= CHUNK:
+        return few
+    ranges = df.where(F.col(times) > CHUNK).withColumn("_from", F.explode(F.sequence(one, F.col(times).cast("long") - 1, F.lit(CHUNK).cast("long"))))
+    ranges = ranges.withColumn("_to", F.least(F.col("_from") + CHUNK, F.col(times).cast("long")) - 1)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return few.unionByName(numbers(ranges.repartition(n, *key, "_from")))

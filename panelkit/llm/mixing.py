@@ -6,15 +6,20 @@ its source's mean. The convex dual has one unknown per source. Newton steps on i
 (source, size), kept inside a bracket, so every iteration is one small distributed job and all sources move at once.
 
 Rates become whole copies: the whole part for every document, and one more for the documents that come first by an
-order-sampling priority (hash over fractional part) until the words still missing are covered. The priority at which a
+order-sampling priority (draw over fractional part) until the words still missing are covered. The priority at which a
 source is full is found by histogram refinement, seven rounds of 8 bits, so no source is ever sorted in one task. What
-a threshold can't fill is topped up by the largest documents that still fit, one per source and round.
+a threshold can't fill is topped up by the largest documents that still fit, one bundle per source and round.
+
+Equal rows (same id, text and source) are a unit, dealt into bundles of equal size: one row each up to ``BUNDLES`` rows. A
+unit's bundles draw evenly spaced numbers behind one hash, so its rows get their extra copy at its rate whichever of
+them that are; a bundle that fits in part only is topped up in part. So a source made of one repeated row still comes
+within a row of its target.
 
 All sums that decide are integers or decimals, so reruns agree whatever the order of tasks.
 
-Defined cases: a null text has size 0; a null source is a source of its own, and last; rows with the same id, source
-and size are one unit and take equally many copies; documents without words take none; an empty table gives an empty
-result; other columns of the input are ignored.
+Defined cases: a null or empty text has size 0; a null source is a source of its own, and last; ties of priority go
+together, and ties of top-ups to the greater draw; documents without words take none; very long texts count as they are;
+an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -22,16 +27,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._work import forget, keep, packed, pick, position
+from ._bitmap import marked
+from ._work import forget, keep, packed, pick, position, repeated
 
 MAX_COPIES = 3
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rates are multiples of one in so many.
 MICRO = 1_000_000
-NEWTON_STEPS = 40
+#: Enough for bisection alone to narrow any bracket to nothing.
+NEWTON_STEPS = 100
 TOLERANCE = 1e-7
 ROUNDS, BITS = 7, 8
 TOP_UPS = 6
+#: Bundles of a unit, unless they would hold more than so many rows.
+BUNDLES, BUNDLE_ROWS = 256, 1 << 16
 #: More sources than this are joined by a shuffle, not broadcast.
 BROADCAST_SOURCES = 20_000
 
@@ -41,17 +50,30 @@ def source_key(source: Column) -> Column:
 
 
 def unit_columns(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    return pick(docs, doc_id=doc_id, text=text, source=source).select("doc_id", *_unit(F.col("doc_id"), F.col("text"), F.col("source")))
+    own = pick(docs, doc_id=doc_id, text=text, source=source)
+    return own.select("doc_id", *_unit(F.col("doc_id"), F.col("text"), F.col("source"))).withColumn("unit", F.col("hash"))
 
 
 def _unit(doc_id: Column, text: Column, source: Column) -> list[Column]:
     return [
-        F.coalesce(doc_id.cast("string"), F.lit("")).alias("unit"),
+        F.xxhash64(doc_id.cast("string"), text.cast("string")).alias("hash"),
         source_key(source).alias("skey"),
         F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     ]
 
 
+def bundles(units: DataFrame) -> DataFrame:
+    """``units`` (with hash and m) as bundles of their rows: ``bundle``, ``draw``, and ``m`` rows in each."""
+    n = F.greatest(F.least("m", F.lit(BUNDLES)), F.expr(f"(m + {BUNDLE_ROWS - 1}) div {BUNDLE_ROWS}"))
+    return (
+        units.withColumn("_n", n)
+        .withColumn("bundle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+        .withColumn("draw", F.expr(f"((hash & {0xFFFFFFFF}L) + bundle * {1 << 32}L) div _n + 1"))
+        .withColumn("m", F.expr("(m * (bundle + 1)) div _n - (m * bundle) div _n"))
+        .drop("_n", "hash")
+    )
+
+
 def targets(units: DataFrame) -> DataFrame:
     """skey, source_size, n_units, target. ``units``: skey, size, m.
 
@@ -102,6 +124,8 @@ def solve_dual(histogram: DataFrame, goals: DataFrame, n_sources: int) -> DataFr
         .withColumn("dual", F.when(F.col("full"), F.col("mean") * 2.0).when(F.col("done"), F.lit(0.0)).otherwise(F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("source_size"))))
     )
     state = keep(state, "mix-dual")
+    if state.where(~F.col("done")).isEmpty():
+        return state.select("skey", "source_size", "target", "mean", "dual")
     for _ in range(NEWTON_STEPS):
         z = F.col("size") / F.col("mean")
         rate = rate_micro(F.col("dual"), F.col("size"), F.col("mean"))
@@ -115,7 +139,9 @@ def solve_dual(histogram: DataFrame, goals: DataFrame, n_sources: int) -> DataFr
         ratio = F.col("words").cast("double") / MICRO / F.col("target")
         gap = F.log(F.greatest(ratio, F.lit(1e-300)))
         step = F.col("dual") - gap * F.col("words").cast("double") * 1000 / F.nullif(F.col("slope").cast("double"), F.lit(0.0))
-        met = F.coalesce(F.abs(ratio - 1) <= TOLERANCE, F.lit(True))
+        # a rate is off by half a millionth at most, which no dual mends
+        rounding = F.abs(F.col("words").cast("double") - F.col("target") * MICRO) <= 0.5 * F.col("source_size")
+        met = F.coalesce((F.abs(ratio - 1) <= TOLERANCE) | rounding, F.lit(True))
         low, high = F.when(gap < 0, F.col("dual")).otherwise(F.col("low")), F.when(gap > 0, F.col("dual")).otherwise(F.col("high"))
         moved = (
             state.join(_small(sums, n_sources), "skey", "left")
@@ -129,35 +155,36 @@ def solve_dual(histogram: DataFrame, goals: DataFrame, n_sources: int) -> DataFr
         forget(before)
         if state.where(~F.col("done")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"targets aren't met after {NEWTON_STEPS} steps")
     return state.select("skey", "source_size", "target", "mean", "dual")
 
 
 def _rated(units: DataFrame, params: DataFrame, n_sources: int) -> DataFrame:
-    """Units with whole copies, fractional part and priority."""
+    """Bundles with whole copies, fractional part and priority."""
     rate = rate_micro(F.col("dual"), F.col("size"), F.col("mean"))
-    draw = F.col("unit_hash").bitwiseAND(F.lit(0xFFFFFFFF)) + 1
     return (
-        units.withColumn("unit_hash", F.xxhash64("unit"))
-        .join(_small(params, n_sources), "skey")
+        units.join(_small(params, n_sources), "skey")
         .withColumn("rate", rate)
-        .withColumns({"whole": F.expr(f"rate div {MICRO}"), "part": F.pmod(F.col("rate"), F.lit(MICRO)), "draw": draw})
+        .withColumns({"whole": F.expr(f"rate div {MICRO}"), "part": F.pmod(F.col("rate"), F.lit(MICRO))})
         .withColumn("priority", F.when((F.col("part") > 0) & (F.col("size") > 0), F.expr(f"draw * {MICRO}L div part")))
     )
 
 
-def is_topped() -> Column:
-    return F.exists("topped", lambda x: (x["unit"] == F.col("unit")) & (x["size"] == F.col("size")))
+def topped_rows() -> Column:
+    """How many rows of a rated bundle its source's top-ups take once more."""
+    same = lambda x: (x["unit"] == F.col("unit")) & (x["bundle"] == F.col("bundle")) & (x["size"] == F.col("size"))
+    return F.coalesce(F.get(F.filter("topped", same), 0)["rows"], F.lit(0).cast("long"))
 
 
 def copies_column() -> Column:
-    """Copies of a rated unit, by its source's threshold and top-ups."""
+    """Copies of each row of a rated bundle by its source's threshold, without top-ups."""
     by_threshold = F.coalesce(F.col("priority") < F.col("threshold"), F.lit(False))
-    extra = F.when(by_threshold, 1).otherwise(0) + F.when(is_topped(), 1).otherwise(0)
-    return F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0).cast("long")
+    return F.when(F.col("size") > 0, F.col("whole") + F.when(by_threshold, 1).otherwise(0)).otherwise(0).cast("long")
 
 
 def plan_mix(units: DataFrame) -> tuple[DataFrame, int]:
-    """Per source what decides its documents' copies. units: unit, skey, size, m (rows of that unit)."""
+    """Per source what decides its documents' copies. units: unit, bundle, draw, skey, size, m (rows of that bundle)."""
     goals = keep(targets(units), "mix-goals")
     n_sources = goals.count()
     histogram = keep(units.where(F.col("size") > 0).groupBy("skey", "size").agg(F.sum("m").alias("n")), "mix-histogram")
@@ -200,44 +227,66 @@ def plan_mix(units: DataFrame) -> tuple[DataFrame, int]:
         )
         before, search = search, keep(moved, "mix-search")
         forget(before)
-    topped = F.array().cast("array<struct<unit: string, size: bigint>>")
-    params = keep(search.join(_small(dual, n_sources), "skey").withColumn("topped", topped), "mix-plan")
+    kind = "array<struct<unit: bigint, bundle: bigint, size: bigint, rows: bigint>>"
+    params = keep(search.join(_small(dual, n_sources), "skey").withColumn("topped", F.array().cast(kind)), "mix-plan")
     for _ in range(TOP_UPS):
         free = (
             _rated(units, params, n_sources)
-            .where((F.col("size") > 0) & (F.col("size") * F.col("m") <= F.col("missing")) & (copies_column() < MAX_COPIES) & ~is_topped())
+            .where((F.col("size") > 0) & (F.col("size") <= F.col("missing")) & (copies_column() < MAX_COPIES) & (topped_rows() == 0))
+            .withColumn("rows", F.least("m", F.expr("missing div size")))
             .groupBy("skey")
-            .agg(F.max(F.struct((F.col("size") * F.col("m")).alias("words"), "unit", "size")).alias("best"))
+            .agg(F.max(F.struct((F.col("size") * F.col("rows")).alias("words"), "draw", "unit", "bundle", "size", "rows")).alias("best"))
         )
         more = params.join(_small(free, n_sources), "skey", "left")
-        taken = F.when(F.col("best").isNotNull(), F.array(F.struct(F.col("best.unit").alias("unit"), F.col("best.size").alias("size")))).otherwise(topped)
+        taken = F.when(F.col("best").isNotNull(), F.array(F.struct("best.unit", "best.bundle", "best.size", "best.rows"))).otherwise(F.array()).cast(kind)
         moved = more.select(*[c for c in params.columns if c not in ("missing", "topped")], (F.col("missing") - F.coalesce("best.words", F.lit(0))).alias("missing"), F.concat("topped", taken).alias("topped"))
         before, params = params, keep(moved, "mix-plan")
         forget(before)
     return params, n_sources
 
 
+def _most_rows(units: DataFrame) -> int:
+    return units.agg(F.max("m")).first()[0] or 0
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken, copies: one row per input row."""
-    units = unit_columns(docs, doc_id, text, source).groupBy("doc_id", "unit", "skey", "size").agg(F.count(F.lit(1)).alias("m"))
-    units = keep(units, "mix-units")
+    units = unit_columns(docs, doc_id, text, source).groupBy("doc_id", "unit", "hash", "skey", "size").agg(F.count(F.lit(1)).alias("m"))
+    units = keep(bundles(units), "mix-units")
     params, n_sources = plan_mix(units)
-    out = _rated(units, params, n_sources).withColumn("copies", copies_column())
-    return out.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("row"), "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies").drop("row")
+    out = _rated(units, params, n_sources).select("doc_id", "unit", "bundle", "m", "size", "source_size", "target", copies_column().alias("each"), topped_rows().alias("topped_rows"))
+    rows = repeated(out, "m", ["unit", "bundle"], _most_rows(units), "row")
+    copies = F.col("each") + F.when(F.col("row") < F.col("topped_rows"), 1).otherwise(0)
+    return rows.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mix_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: each input row as often as it is taken, with the input's columns.
 
-    What decides is a few numbers per source, so the texts aren't shuffled.
+    What decides is a few numbers per source, so the texts aren't shuffled; only of rows that are equal in all columns
+    one moves, once per task, and is repeated as often as they are taken together.
     """
-    units = keep(unit_columns(docs, doc_id, text, source).groupBy("unit", "skey", "size").agg(F.count(F.lit(1)).alias("m")), "mix-units")
-    params, n_sources = plan_mix(units)
-    wide = packed(docs).select("row", *_unit(*[F.col("row")[f"c{position(docs, c)}"] for c in (doc_id, text, source)]))
-    copies = _rated(wide, params, n_sources).withColumn("copies", copies_column()).where("copies > 0 OR size = 0")
-    # a document without words weighs nothing and is kept once
-    times = F.greatest(F.col("copies"), F.lit(1).cast("long"))
-    return copies.select("row", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("copy")).select("row.*").toDF(*docs.columns)
+    whole = [F.col("row")[f"c{k}"] if "map<" not in kind else F.to_json(F.struct(F.col("row")[f"c{k}"])) for k, (_, kind) in enumerate(docs.dtypes)]
+    wide = packed(docs).select("row", *_unit(*[F.col("row")[f"c{position(docs, c)}"] for c in (doc_id, text, source)])).withColumn("unit", F.xxhash64(*whole))
+    key = ["unit", "hash", "skey", "size"]
+    units = keep(wide.groupBy(*key).agg(F.count(F.lit(1)).alias("m")), "mix-rows")
+    parts = keep(bundles(units), "mix-units")
+    params, n_sources = plan_mix(parts)
+    many = units.where("m > 1").select("unit")
+
+    def times(own: DataFrame) -> DataFrame:
+        # a document without words weighs nothing and is kept as it is
+        n = F.when(F.col("size") == 0, F.col("m")).otherwise(copies_column() * F.col("m") + topped_rows())
+        return _rated(bundles(own), params, n_sources).select("row", "unit", "bundle", n.alias("times")).where("times > 0")
+
+    if many.isEmpty():
+        out = repeated(times(wide.withColumn("m", F.lit(1).cast("long"))), "times", ["unit", "bundle"], MAX_COPIES, "copy")
+    else:
+        sorted_out = marked(wide, F.col("unit"), many, "unit", "_many")
+        alone = times(sorted_out.where("NOT _many").drop("_many").withColumn("m", F.lit(1).cast("long")))
+        together = times(sorted_out.where("_many").groupBy(*key).agg(F.any_value("row").alias("row"), F.count(F.lit(1)).alias("m")))
+        out = repeated(alone, "times", ["unit", "bundle"], MAX_COPIES, "copy").unionByName(repeated(together, "times", ["unit", "bundle"], MAX_COPIES * _most_rows(parts), "copy"))
+    return out.select("row.*").toDF(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
