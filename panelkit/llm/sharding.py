@@ -10,8 +10,10 @@ Only the number of documents on each arc reaches the driver: ``n_shards * vnodes
 Documents are numbered within their arc by a window, so the largest sort is one arc's.
 
 Defined cases: a null text has size 1 and checksum 0, as an empty one; repeated rows (same id, size and checksum) are
-counted as one key with a multiplicity, so that a key which holds a third of all rows is one row until the end; a null
-id has a position of its own; an empty table gives an empty result; other columns of the input are ignored.
+counted as one key with a multiplicity, so that a key which holds a third of all rows is one row until the end, where its
+slots are dealt into ranges and spread over all tasks; a null id has a position of its own; ids at one position (ties) are
+ordered by id, size and checksum; very long texts count as they are; an empty table gives an empty result; other columns
+of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._work import keep, pick
+from ._work import CHUNK, keep, pick, repeated
 
 N_SHARDS = 16
 VNODES = 512
@@ -121,21 +123,24 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, vnodes: int = VNODES, doc_i
     )
     keys = keep(with_arc(keys, n_shards, vnodes), "ring-keys")
     owners = [s for _, s in ring_positions(n_shards, vnodes)]
-    counts = [0] * len(owners)
-    for row in keys.groupBy("arc").agg(F.sum("m").alias("n")).collect():  # at most n_shards * vnodes rows
-        counts[row["arc"]] = row["n"]
+    counts, most = [0] * len(owners), 0
+    for row in keys.groupBy("arc").agg(F.sum("m").alias("n"), F.max("m").alias("most")).collect():  # at most n_shards * vnodes rows
+        counts[row["arc"]], most = row["n"], max(most, row["most"])
     pieces = _inline(spark, bounded_plan(owners, counts, n_shards), "arc int, lo bigint, hi bigint, shard int, slot bigint")
     order = Window.partitionBy("arc").orderBy("position", "doc_id", "size", "text_crc32")
     ranked = keys.withColumn("after", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("before", F.col("after") - F.col("m"))
     placed = ranked.join(F.broadcast(pieces), "arc").where((F.col("before") < F.col("hi")) & (F.col("after") > F.col("lo")))
     first, last = F.greatest("before", "lo"), F.least("after", "hi")
-    return placed.select(
+    runs = placed.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + first - F.col("lo")).alias("slot"), (last - first).alias("rows"))
+    if most > CHUNK:
+        runs = keep(runs, "ring-runs")
+    return repeated(runs, "rows", ["shard", "slot"], most, "step").select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
         "shard",
-        F.explode(F.sequence(F.col("slot") + first - F.col("lo"), F.col("slot") + last - F.col("lo") - 1)).alias("slot"),
+        (F.col("slot") + F.col("step")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
