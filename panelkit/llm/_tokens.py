@@ -1,12 +1,15 @@
 """Words of Arrow string columns as numpy arrays: where each word starts and ends, and a 64-bit hash of its bytes.
 
-The buffers of a record batch are read in place. A word's hash is a polynomial in its bytes modulo 2**64, taken from
-running sums, so the cost is a few vector operations per byte and no Python object per word. Equal words have equal
-hashes; unequal words share one about once in 2**64 pairs.
+The buffers of a record batch are read in place. A word's bytes are taken eight at a time, and each eight are mixed into
+its hash by a non-linear bijection; the length takes part. Words above ``LONG`` bytes are hashed by BLAKE2b. So the cost
+is a few vector operations per word, and words of special structure (repeats, swaps, doubled patterns, which collide
+under a polynomial modulo 2**64 in any odd base) are as far apart as any others: unequal words, not made to collide by
+someone who solves for it, share a hash about once in 2**64 pairs. Runs of words are hashed by doubling, likewise mixed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +17,9 @@ import pyarrow as pa
 
 #: Bytes that one pass of the tokenizer takes at once; a longer word extends its pass.
 BLOCK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_ODD = 0x9E3779B97F4A7C15
 
 #: ``lut[byte]``: 0 for a separator, else the value hashed for that byte.
 BLANK_WORDS = np.arange(1, 257, dtype=np.uint16)
@@ -27,20 +31,6 @@ for _a, _b in ((0x30, 0x3A), (0x61, 0x7B), (0x80, 0x100)):
     LETTER_WORDS_LOWER[_a:_b] = np.arange(_a, _b) + 1
 LETTER_WORDS_LOWER[0x41:0x5B] = LETTER_WORDS_LOWER[0x61:0x7B]
 
-_powers = {"n": 0, "up": np.empty(0, np.uint64), "down": np.empty(0, np.uint64)}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        size = max(n, BLOCK + 4096)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-        _powers["n"] = size
-    return _powers["up"], _powers["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values; a bijection."""
     x = x.astype(np.uint64, copy=True)
@@ -99,36 +89,50 @@ def words(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray) -> tuple[np.nd
         opens[1:] &= ~inside[:-1] | row_start[lo + 1 : hi]
         closes[:-1] &= ~inside[1:] | row_start[lo + 1 : hi]
         s, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        up, down = _power_tables(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(value.astype(np.uint64) * up[: hi - lo], out=total[1:])
-        parts.append((s + lo, e + lo, (total[e] - total[s]) * down[s]))
+        parts.append((s + lo, e + lo, _word_hashes((value - 1).astype(np.uint8), s, e)))
         lo = hi
     if parts:
         starts, ends, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
     else:
         starts, ends, hashes = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    return starts, ends, mix(hashes), np.searchsorted(starts, offsets, side="left")
+    return starts, ends, hashes, np.searchsorted(starts, offsets, side="left")
+
+
+def _word_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans that aren't empty."""
+    size = ends - starts
+    padded = np.zeros(len(folded) + 8, dtype=np.uint8)
+    padded[: len(folded)] = folded
+    eight = np.ndarray(shape=(len(folded) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    out = mix(size.astype(np.uint64) * np.uint64(_ODD))
+    some = np.flatnonzero(size <= LONG)
+    at, left = starts[some], size[some]
+    while len(some):
+        block = eight[at]
+        short = left < 8
+        block[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[some] = mix((out[some] ^ block) * np.uint64(_ODD))
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(folded[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` consecutive word hashes (one for each start at which the run fits)."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for j in range(size):
-        out *= np.uint64(_BASE)
-        out += hashes[j : j + n]
-    return mix(out)
-
+    """Hash of each run of ``size`` consecutive word hashes (one for each start at which the run fits).
 
-def long_gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """As ``gram_hashes`` at a cost that doesn't grow with ``size``."""
+    Runs of 1, 2, 4, … words are put together from two halves; ``size`` is put together from these by its binary digits.
+    """
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    up, down = _power_tables(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-    return mix((total[size:] - total[:-size]) * down[:n])
+    out, done, half, width = None, 0, hashes, 1
+    while True:
+        if size & width:
+            own = half[done : done + n]
+            out, done = (mix(own) if out is None else mix(mix(out) + own)), done + width
+        if done == size:
+            return out
+        half = mix(mix(half[:-width]) + half[width:])
+        width *= 2

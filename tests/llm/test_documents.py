@@ -243,6 +243,89 @@ def test_substring(spark, partitions):
         assert all(s["end"] - s["begin"] >= 35 for s in r["spans"])
 
 
+def test_substring_repeats_are_maximal(spark):
+    """Each repeat equals the words it names, word by word, and goes on as far as they agree, unless a third occurrence of the
+    next window takes over; all repeats together are what is removed."""
+    rows = [r[:2] for r in documents()] + [(800 + k, prose(20, 810 + k) + " " + " ".join(prose(200, 820).split()[k * 15 : k * 15 + 70]) + " " + prose(20, 830 + k)) for k in range(8)]
+    got = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    text = {r[0]: r[1] or "" for r in rows}
+    words = {r["key"]: BLANK.findall(text[r["doc_id"]]) for r in got}
+    seen = {}
+    for key, w in words.items():
+        for i in range(len(w) - 34):
+            seen.setdefault(tuple(w[i : i + 35]), []).append((key, i))
+    third = lambda key, i: len(seen[tuple(words[key][i : i + 35])]) > 2
+    n = 0
+    for r in got:
+        mine = words[r["key"]]
+        gone = set()
+        for m in r["repeats"]:
+            a, b, theirs, c = m["begin"], m["end"], words[m["other"]], m["other_begin"]
+            assert b - a >= 35 and mine[a:b] == theirs[c : c + b - a]
+            if (r["key"], a) != (m["other"], c):
+                right = b < len(mine) and c + b - a < len(theirs) and mine[b] == theirs[c + b - a]
+                left = a > 0 and c > 0 and mine[a - 1] == theirs[c - 1]
+                assert not right or third(r["key"], b - 34)
+                assert not left or third(r["key"], a - 1)
+            gone |= set(range(a, b))
+            n += b - a > 35
+        assert len(gone) == r["n_removed"]
+    assert n > 50
+
+
+def test_substring_equal_rows_speak_once(spark):
+    """Rows of equal id and text send their places once a shard, so their number doesn't square."""
+    import pyarrow as pa
+
+    text = prose(400, 840)
+    rows = pa.table({"k": [7] * 300, "text": [text] * 300})
+    ((table, hashes, first),) = substring._shards(iter(rows.combine_chunks().to_batches()))
+    key = table.column("k").combine_chunks().to_numpy()
+    starts = substring._window_starts(len(hashes), first, 35)
+    doc = np.searchsorted(first, starts, side="right") - 1
+    sent = substring._settled(tk.gram_hashes(hashes, 35)[starts], key[doc], starts - first[doc], substring._fresh(key)[doc]).to_pylist()
+    assert sum(x["n"] == 0 for x in sent) == 366 and [x["n"] for x in sent if x["n"]] == [366]
+    many = [(1, text)] * 60 + [(2, prose(50, 841))]
+    got = substring.repeats(spark.createDataFrame(many, "doc_id long, text string").repartition(4)).collect()
+    assert ordered((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in got) == brute_substring(many)
+
+
+@pytest.mark.parametrize("size", [8, 64, 1024, 2048, 4096, 8192])
+def test_words_of_doubled_patterns_stay_apart(size):
+    """Words that any polynomial modulo 2**64 in an odd base takes for equal."""
+    import pyarrow as pa
+
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for lut in (tk.BLANK_WORDS, tk.BLANK_WORDS_LOWER, tk.LETTER_WORDS_LOWER):
+        data, offsets = tk.text_buffer(pa.array([f"{word} {other} {word}"]))
+        hashes = tk.words(data, offsets, lut)[2]
+        assert hashes[0] == hashes[2] != hashes[1]
+    one, two = np.array([5], np.uint64), np.array([9], np.uint64)
+    runs = [np.concatenate([one if c == "a" else two for c in w[:35]]) for w in (word * 35, other * 35)]
+    assert tk.gram_hashes(runs[0], 35) != tk.gram_hashes(runs[1], 35)
+
+
+def test_colliding_words_through_each_operator(spark):
+    """The words of the test above as text: op2, op4 and op10 take them for different."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    text = lambda w: " ".join([w, *prose(40, 850).split()[:12], w, *prose(40, 851).split()])
+    rows = [(1, text(word)), (2, text(other)), (3, word), (4, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(docs).collect()
+    assert ordered((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_minhash(rows)
+    got = substring.repeats(docs).collect()
+    assert ordered((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in got) == brute_substring(rows)
+    items = [(1, word), (2, other + " " + other)]
+    got = decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert ordered((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got) == brute_decontaminate(rows, items)
+
+
 def test_substring_empty(spark):
     assert substring.repeats(empty(spark)).count() == 0
 
