@@ -15,13 +15,18 @@ most often, so the middle of a family of copies) the one that it meets most ofte
 Sets of one list that are still in different components are settled without sketches, as these can't tell the edge of a
 family from its middle: their full sets are joined on the rarest shingles (``linked_across``), and confirmed likewise.
 
+Sets are told apart by 128-bit digests of all their shingles: 64 bits are the id, and a class whose rows differ in the
+other 64 makes all ids be drawn again, so no two different sets are ever one class.
+
 Defined cases: a text of fewer words than a shingle is one shingle; null, empty and blank texts have no shingles, are
-linked with nothing and kept; repeated rows are copies of each other; a null id never names a component unless all its
+linked with nothing and kept; repeated rows are copies of each other; ties of leaders go to the greater id; very long texts are one set
+of any size; a null id never names a component unless all its
 documents have null ids; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +47,8 @@ BAND, CROWD = 1.03, 16
 #: Shingles of a set up to which its rows carry the shingles before them; larger sets may meet more than once.
 CARRIED = 600
 SLICE_BYTES = 2 << 20
+#: Should two different sets share a 64-bit id, which the other half of their digest shows, all ids are made anew.
+SALTS = 4
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -61,10 +68,10 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Itera
             yield np.empty(0, np.uint64)
 
 
-def set_id(own: np.ndarray) -> int:
-    """A hash of a set."""
-    total, both = np.add.reduce(own, dtype=np.uint64), np.bitwise_xor.reduce(own, dtype=np.uint64)
-    return int(tk.mix(np.array([total], np.uint64) ^ tk.mix(np.array([both], np.uint64) + np.uint64(len(own))))[0].astype(np.int64))
+def set_id(own: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """The two halves of a 128-bit digest of a sorted set: its id, and what tells sets apart that share an id."""
+    digest = hashlib.blake2b(own.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -73,20 +80,20 @@ def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield from sets_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
-def sketches(own: DataFrame) -> DataFrame:
-    """doc_id, text_key, set_id, n, sketch (as signed numbers, in the order of the unsigned). own: doc_id, text, text_key."""
+def sketches(own: DataFrame, salt: int = 0) -> DataFrame:
+    """doc_id, text_key, set_id, check, n, sketch (as signed numbers, in the order of the unsigned). own: doc_id, text, text_key."""
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, n, low = [], [], []
             for x in _sets(batch):
-                ids.append(set_id(x) if len(x) else None)
+                ids.append(set_id(x, salt) if len(x) else (None, None))
                 n.append(len(x))
                 low.append(x[:K].view(np.int64).copy())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), _lists(low)], names=["doc_id", "text_key", "set_id", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([i for i, _ in ids], pa.int64()), pa.array([c for _, c in ids], pa.int64()), pa.array(n, pa.int64()), _lists(low)], names=["doc_id", "text_key", "set_id", "check", "n", "sketch"])
 
-    return own.mapInArrow(work, f"doc_id {kind}, text_key long, set_id long, n long, sketch array<long>")
+    return own.mapInArrow(work, f"doc_id {kind}, text_key long, set_id long, check long, n long, sketch array<long>")
 
 
 def _key() -> Column:
@@ -94,36 +101,68 @@ def _key() -> Column:
     return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.col("text_key"))
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
-    """Jaccard similarity by the union sketch; exact if both sketches are complete."""
-    a, b = a.view(np.uint64), b.view(np.uint64)
-    union = np.union1d(a, b)
-    if n_a > K or n_b > K:  # beyond its last value a cut sketch knows nothing
-        union = union[:K]
-        limit = min(a[-1] if n_a > K else union[-1], b[-1] if n_b > K else union[-1])
-        union = union[union <= limit]
-    if not len(union):
-        return 0.0
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / len(union)
-
+def _met(a: pa.ListArray, b: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, value, twice`` of the distinct values of both sides, in order by row and value; twice: on both sides.
 
-def _similar(pairs: DataFrame, classes: DataFrame, own: DataFrame, tag: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    One sort for all rows; each side has a value once in a row.
+    """
+    rows = [np.repeat(np.arange(len(x)), x.value_lengths().to_numpy(zero_copy_only=False)) for x in (a, b)]
+    row = np.concatenate(rows)
+    value = np.concatenate([x.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for x in (a, b)])
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    again = np.zeros(len(row), dtype=bool)
+    again[1:] = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
+    twice = np.append(again[1:], False)[~again]
+    return row[~again], value[~again], twice
+
+
+def _last(x: pa.ListArray) -> np.ndarray:
+    """The last (greatest) value of each row, none of which is empty."""
+    return x.flatten().to_numpy(zero_copy_only=False).view(np.uint64)[np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False)) - 1]
+
+
+def estimates(a: pa.ListArray, b: pa.ListArray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of each row's two sets by the union sketch; exact if both sketches are complete."""
+    if not len(a):
+        return np.empty(0)
+    row, value, twice = _met(a, b)
+    cut = (n_a > K) | (n_b > K)
+    most = np.uint64(0xFFFFFFFFFFFFFFFF)
+    # beyond its last value a cut sketch knows nothing, and of the union the first K values count
+    limit = np.minimum(np.where(n_a > K, _last(a), most), np.where(n_b > K, _last(b), most))
+    first = np.searchsorted(row, np.arange(len(a)))
+    ok = ~cut[row] | ((np.arange(len(row)) - first[row] < K) & (value <= limit[row]))
+    union = np.bincount(row[ok], minlength=len(a))
+    return np.bincount(row[ok & twice], minlength=len(a)) / np.maximum(union, 1)
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, tag: str) -> DataFrame:
+    """a, b, key_a, key_b of the pairs whose union sketch allows for enough similarity."""
     side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("key").alias(f"key_{x}"))
 
     def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("sketch_a"), batch.column("sketch_b")
-            n_a, n_b = batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()
-            likely = [100 * estimate(a[i].values.to_numpy(), b[i].values.to_numpy(), n_a[i], n_b[i]) >= SIMILARITY - (SLACK if max(n_a[i], n_b[i]) > K else 0) - 1e-9 for i in range(batch.num_rows)]
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            least = SIMILARITY - np.where(np.maximum(n_a, n_b) > K, SLACK, 0) - 1e-9
+            likely = 100 * estimates(batch.column("sketch_a"), batch.column("sketch_b"), n_a, n_b) >= least
             yield batch.select(["a", "b", "key_a", "key_b"]).filter(pa.array(likely, pa.bool_()))
 
-    likely = keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimated, "a long, b long, key_a long, key_b long"), f"{tag}-likely")
+    return keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimated, "a long, b long, key_a long, key_b long"), f"{tag}-likely")
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, own: DataFrame, salt: int, tag: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    likely = _likely(pairs, classes, tag)
     needed = likely.select(F.explode(F.array(F.struct(F.col("a").alias("set_id"), F.col("key_a").alias("key")), F.struct(F.col("b").alias("set_id"), F.col("key_b").alias("key")))).alias("x")).select("x.*").distinct()
-    return _confirmed(likely.select("a", "b"), full_sets(needed, own, tag), tag)
+    sets = full_sets(needed, own, salt, tag)
+    links = _confirmed(likely.select("a", "b"), sets, tag)
+    for x in (likely, sets):
+        forget(x)
+    return links
 
 
-def full_sets(needed: DataFrame, own: DataFrame, tag: str) -> DataFrame:
+def full_sets(needed: DataFrame, own: DataFrame, salt: int, tag: str) -> DataFrame:
     """set_id, shingles of the classes in ``needed`` (set_id, key), from the texts of their documents.
 
     Texts of documents that stand for none of them don't move.
@@ -134,7 +173,7 @@ def full_sets(needed: DataFrame, own: DataFrame, tag: str) -> DataFrame:
             data, offsets = tk.text_buffer(batch.column("text"))
             for lo, hi in tk.row_slices(offsets, SLICE_BYTES):
                 found = [x for x in sets_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), _lists([x.view(np.int64) for x in found])], names=["set_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(x, salt)[0] for x in found], pa.int64()), _lists([x.view(np.int64) for x in found])], names=["set_id", "shingles"])
 
     some = marked(own, _key(), needed, "key", "wanted").where("wanted").select("text")
     sets = some.mapInArrow(full, "set_id long, shingles array<long>").join(needed.select("set_id").distinct(), "set_id", "left_semi")
@@ -152,11 +191,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, tag: str) -> DataFrame:
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("sets_a"), batch.column("sets_b")
-            sure = []
-            for i in range(batch.num_rows):
-                x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                sure.append(100 * both >= SIMILARITY * (len(x) + len(y) - both))
+            row, _, twice = _met(a, b)
+            both, all_ = np.bincount(row[twice], minlength=len(a)), np.bincount(row, minlength=len(a))
+            sure = 100 * both >= SIMILARITY * all_
             yield batch.select(["a", "b"]).filter(pa.array(sure, pa.bool_()))
 
     with_sets = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sets_a")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sets_b")), "b")
@@ -168,7 +205,7 @@ def _fits(n_a: str, n_b: str):
     return 100 * F.least(n_a, n_b) >= SIMILARITY * F.greatest(n_a, n_b)
 
 
-def linked_classes(classes: DataFrame, own: DataFrame) -> DataFrame:
+def linked_classes(classes: DataFrame, own: DataFrame, salt: int = 0) -> DataFrame:
     """node (set_id), component. classes: set_id, n, key (of a document of the class), sketch."""
     values = classes.select("set_id", "n", F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -199,22 +236,22 @@ def linked_classes(classes: DataFrame, own: DataFrame) -> DataFrame:
     )
     star = met.groupBy("set_id").agg(F.max(F.struct("times", "central", "leader")).alias("best")).select(F.least("set_id", "best.leader").alias("a"), F.greatest("set_id", "best.leader").alias("b")).distinct()
     star = keep(star, "minhash-star")
-    first_links = _similar(star, classes, own, "minhash-star")
+    first_links = _similar(star, classes, own, salt, "minhash-star")
     first = components(first_links, "minhash-first")
 
     # what is left: sets of one list in different components
     named = entries.select("value", "set_id").join(first.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     mixed = named.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
     open_ = keep(named.join(mixed, "value", "left_semi").select("set_id", "component").distinct().join(classes.select("set_id", "n", "key"), "set_id"), "minhash-open")
-    more = linked_across(open_, own)
-    for x in (star, lists):
+    more = linked_across(open_, classes, own, salt)
+    for x in (star, lists, open_):
         forget(x)
     if more.isEmpty():
         return first
     return components(first_links.union(more), "minhash-all")
 
 
-def linked_across(sets: DataFrame, own: DataFrame) -> DataFrame:
+def linked_across(sets: DataFrame, classes: DataFrame, own: DataFrame, salt: int) -> DataFrame:
     """All links (a, b) between sets of different components, by their full sets. sets: set_id, component, n, key.
 
     With the shingles of each set ordered rarest first, two similar sets share one of the first ``n - need + 1``: the
@@ -224,7 +261,7 @@ def linked_across(sets: DataFrame, own: DataFrame) -> DataFrame:
     a crowd: a set only meets its members if enough of its shingles are held by the crowd as a whole. So variants that
     are too far from a large family never meet its members one by one.
     """
-    full = full_sets(sets.select("set_id", "key"), own, "minhash-open")
+    full = full_sets(sets.select("set_id", "key"), own, salt, "minhash-open")
     # intersection >= s / (100 + s) * (sum of sizes), in integers
     top, all_ = SIMILARITY, 100 + SIMILARITY
     need = lambda total: F.expr(f"({top} * ({total}) + {all_ - 1}) div {all_}")
@@ -279,8 +316,9 @@ def linked_across(sets: DataFrame, own: DataFrame) -> DataFrame:
         .where(f"{all_} * least(rest_a, rest_b) >= {top} * (n_a + n_b)")
     )
     pairs = keep(meets.select("a", "b").distinct(), "minhash-rest")
-    links = _confirmed(pairs, full, "minhash-rest")
-    for x in (ranked, pairs, full, crowds, known):
+    likely = _likely(pairs, classes, "minhash-rest")
+    links = _confirmed(likely.select("a", "b"), full, "minhash-rest")
+    for x in (ranked, pairs, likely, full, crowds, known):
         forget(x)
     return links
 
@@ -294,9 +332,17 @@ def _decided(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``near_duplicates`` with ``text_key``, the hash of the row's text."""
     small_batches(docs.sparkSession)
     own = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text"))
-    rows = keep(sketches(own), "minhash-sketches")
-    classes = keep(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.min(_key()).alias("key"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "minhash-classes")
-    linked = linked_classes(classes, own)
+    for salt in range(SALTS):
+        rows = keep(sketches(own, salt), "minhash-sketches")
+        parts = [F.min("doc_id").alias("low"), F.min(_key()).alias("key"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.min("check").alias("check"), F.max("check").alias("check_too")]
+        classes = keep(rows.where("n > 0").groupBy("set_id").agg(*parts), "minhash-classes")
+        if classes.where("check <> check_too").isEmpty():
+            break
+        for x in (rows, classes):
+            forget(x)
+    else:
+        raise RuntimeError("different sets share an id under every salt")
+    linked = linked_classes(classes, own, salt)
     named = classes.select("set_id", "low").join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
     by_class = keep(named.join(least, "component").select("set_id", "component_id"), "minhash-components")
