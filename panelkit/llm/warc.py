@@ -1,31 +1,48 @@
 """Content-addressed web archive.
 
 Payload bytes are stored once, under a strong digest (SHA-256) that is verified again on every read. Record headers
-are stored apart, byte for byte. The original records come back by a join of the two tables on the digest.
+are stored apart, byte for byte as they stand in a WARC file. The original records come back by a join of the two tables
+on the digest.
+
+WARC files are written from the two tables and read back by content lengths. A record is one gzip member (or several, of
+at most ``MEMBER_BYTES``), so a reader can begin at any record. A gzip member below 16 MiB ends in a zero byte, which is
+the line end that the engine's own text writer puts behind each value: so files are written to any shared store by the
+engine, with its commit protocol, and hold nothing but members. A revisit has no block; its payload is joined from the
+response it refers to.
 
 Defined cases: a null payload is empty; null ids are kept and never become the holder of a payload unless all ids of
-that payload are null; repeated rows each have a record, and all rows with the holder's id are responses; an empty
-table gives an empty archive; other columns of the input are ignored.
+that payload are null; repeated rows each have a record (with the same record id), and all rows with the holder's id are
+responses; the holder among ties is any of the equal rows; very long payloads are one record of several members; an
+empty table gives an empty archive; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import new_path, pick
+from ._work import keep, new_path, pick, small_batches
 
 #: Payloads shorter than this are always stored as responses.
 MIN_REVISIT_BYTES = 1000
 #: The date of all records that are written here; a fixed one, so that reruns give equal bytes.
 RECORD_DATE = "1970-01-01T00:00:00Z"
+#: Bytes of a record that one gzip member holds at most; below 2**24, see above.
+MEMBER_BYTES = 8 << 20
+#: Records of a file at most, and bytes of records that a reader hands on at once.
+FILE_RECORDS, BATCH_BYTES = 4096, 4 << 20
+#: Compressed bytes that go to the decompressor at once.
+READ_BYTES = 16 << 10
 
 
 @dataclass(frozen=True)
 class Archive:
-    """``payloads``: digest, payload, sha1, n_bytes. ``headers``: page_id, digest, header."""
+    """``payloads``: digest, payload, sha1, n_bytes. ``headers``: page_id, digest, revisit, header."""
 
     payloads: str
     headers: str
@@ -52,7 +69,7 @@ def _header(page_id: Column, url: Column, sha1: Column, n_bytes: Column, holder:
         line("WARC-Target-URI", F.regexp_replace(F.coalesce(url, F.lit("")), "[\\r\\n]", "%0A")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
         F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), holder.cast("string"), F.lit(">"))), line("WARC-Profile", F.lit("identical-payload-digest")))).otherwise(F.lit("")),
-        line("Content-Length", n_bytes.cast("string")),
+        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(n_bytes.cast("string"))),
         F.lit("\r\n"),
     )
 
@@ -77,7 +94,7 @@ def write_archive(records: DataFrame, archive: Archive | None = None) -> Archive
     (
         records.select("page_id", "url", "digest")
         .join(held, "digest")
-        .select("page_id", "digest", _header(F.col("page_id"), F.col("url"), F.col("sha1"), F.col("n_bytes"), F.col("holder"), revisit).alias("header"))
+        .select("page_id", "digest", revisit.alias("revisit"), _header(F.col("page_id"), F.col("url"), F.col("sha1"), F.col("n_bytes"), F.col("holder"), revisit).alias("header"))
         .write.option("compression", "zstd")
         .parquet(archive.headers)
     )
@@ -85,14 +102,17 @@ def write_archive(records: DataFrame, archive: Archive | None = None) -> Archive
 
 
 def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
-    """page_id, header, payload of each original record; fails on a payload whose bytes don't match its digest."""
-    stored = spark.read.parquet(archive.payloads).select(
+    """page_id, revisit, header, payload of each original record; fails on a payload that doesn't match its digest."""
+    return spark.read.parquet(archive.headers).join(_payloads(spark, archive), "digest").select("page_id", "revisit", "header", "payload")
+
+
+def _payloads(spark: SparkSession, archive: Archive) -> DataFrame:
+    return spark.read.parquet(archive.payloads).select(
         "digest",
         F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload"))
         .otherwise(F.raise_error(F.concat(F.lit("payload doesn't match its digest "), F.hex("digest"))).cast("binary"))
         .alias("payload"),
     )
-    return spark.read.parquet(archive.headers).join(stored, "digest").select("page_id", "header", "payload")
 
 
 def field(name: str) -> Column:
@@ -101,49 +121,110 @@ def field(name: str) -> Column:
     return F.when(found != "", found)
 
 
-def record_bytes() -> Column:
-    """The record as it stands in a WARC file; a revisit has no block of its own there."""
-    block = F.when(field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return F.concat(F.col("header").cast("binary"), block, F.lit(b"\r\n\r\n"))
-
-
-def write_warc_files(archive_rows: DataFrame, path: str, compression: str = "gzip") -> None:
-    """WARC files from the rows of ``read_archive``: the writer's line end is the end of a record."""
-    block = F.when(field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    # a revisit's block is empty, and so is its length in a file
-    header = F.when(field("WARC-Type") == "revisit", F.regexp_replace("header", "\\r\\nContent-Length: \\d+\\r\\n", "\r\nContent-Length: 0\r\n")).otherwise(F.col("header"))
-    archive_rows.select(F.concat(header.cast("binary"), block).cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
-
-
-def parse_warc(content: bytes) -> list[tuple[bytes, bytes]]:
-    """(header block, block) of each record of a WARC file's bytes, by its content lengths."""
-    out, at = [], 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at) + 4
-        header = content[at:end]
-        length = next(int(x.split(b":", 1)[1]) for x in header.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-        out.append((header, content[end : end + length]))
-        at = end + length + 4
-    return out
+def members(record: bytes) -> bytes:
+    """A record as gzip members."""
+    parts = [record[k : k + MEMBER_BYTES] for k in range(0, len(record), MEMBER_BYTES)]
+    return b"".join(_member(x) for x in parts)
+
+
+def _member(content: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(content) + packer.flush()
+
+
+def write_warc_files(spark: SparkSession, archive: Archive, path: str) -> None:
+    """WARC files of all records of an archive. Only responses are joined with their payload."""
+    small_batches(spark)
+    headers = spark.read.parquet(archive.headers)
+    responses = headers.where("NOT revisit").join(_payloads(spark, archive), "digest").select("header", "payload")
+    records = responses.unionByName(headers.where("revisit").select("header", F.lit(b"").alias("payload")))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # without its last byte, a zero, which the writer puts behind it
+            packed = [members(h.as_py().encode() + p.as_py() + b"\r\n\r\n")[:-1] for h, p in zip(batch.column("header"), batch.column("payload"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["value"])
+
+    values = records.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
+    values.write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
+def parse_warc(content: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(header, block) of each record of a file of gzip members, by content lengths; one record in memory at a time."""
+    rest, at, held = memoryview(content), 0, bytearray()
+    while at < len(rest) or held:
+        end = held.find(b"\r\n\r\n") + 4
+        if end >= 4:
+            header = bytes(held[:end])
+            stop = end + next(int(x.split(b":", 1)[1]) for x in header.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+            if len(held) >= stop + 4:
+                if held[stop : stop + 4] != b"\r\n\r\n":
+                    raise ValueError("a record doesn't end where its length says")
+                yield header, bytes(held[end:stop])
+                del held[: stop + 4]
+                continue
+        if at == len(rest):
+            raise ValueError("a record is cut off")
+        unpacker = zlib.decompressobj(31)
+        while not unpacker.eof:
+            if at == len(rest):
+                raise ValueError("a member is cut off")
+            some = rest[at : at + READ_BYTES]
+            held += unpacker.decompress(some)
+            at += len(some) - len(unpacker.unused_data)
+
+
+def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
+    """header, block of all records of all files below a path."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                rows, size = [], 0
+                for row in parse_warc(content.as_py()):
+                    rows.append(row)
+                    size += len(row[0]) + len(row[1])
+                    if size >= BATCH_BYTES:
+                        yield _records(rows)
+                        rows, size = [], 0
+                yield _records(rows)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "header string, block binary")
+
+
+def _records(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([h.decode() for h, _ in rows], pa.string()), pa.array([b for _, b in rows], pa.binary())], names=["header", "block"])
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """Of each record of WARC files: page_id, payload_bytes, payload_digest, record_type, refers_to, verified.
+
+    Sizes and digests are those of the blocks that were read; a revisit's are those of the response with its digest.
+    """
+    number = lambda name: F.regexp_extract(F.coalesce(field(name), F.lit("")), "<urn:page:(-?\\d+)>", 1)
+    value = lambda name: F.when(number(name) != "", number(name)).cast("long")
+    own = records.select(
+        value("WARC-Record-ID").alias("page_id"),
+        F.octet_length("block").cast("long").alias("payload_bytes"),
+        F.sha1("block").alias("payload_digest"),
+        field("WARC-Type").alias("record_type"),
+        value("WARC-Refers-To").alias("refers_to"),
+        F.substring_index(field("WARC-Payload-Digest"), ":", -1).alias("said"),
+    )
+    own = keep(own, "warc-read")
+    responses = own.where("record_type = 'response'").withColumn("verified", F.col("payload_digest") == F.col("said")).drop("said")
+    held = responses.groupBy(F.col("payload_digest").alias("said")).agg(F.first("payload_bytes").alias("payload_bytes"))
+    revisits = own.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(held, "said", "left")
+    revisits = revisits.select("page_id", "payload_bytes", F.col("said").alias("payload_digest"), "record_type", "refers_to", F.col("payload_bytes").isNotNull().alias("verified"))
+    return responses.unionByName(revisits)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive all ``pages`` and read every record back.
-
-    What the result says of a payload is taken from the payload that was read back and joined; what it says of the
-    record is read from the stored header.
-    """
+    """Archive all ``pages``, write them as WARC files, read the files back, and say what is in them."""
     archive = write_archive(records_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    back = read_archive(spark, archive)
-    refers = F.regexp_extract(F.coalesce(field("WARC-Refers-To"), F.lit("")), "<urn:page:(-?\\d+)>", 1)
-    return back.select(
-        "page_id",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
-        field("WARC-Type").alias("record_type"),
-        F.when(refers != "", refers).cast("long").alias("refers_to"),
-        (F.concat(F.lit("sha1:"), F.sha1("payload")) == field("WARC-Payload-Digest")).alias("verified"),
-    )
+    path = new_path(spark, "warc-files")
+    write_warc_files(spark, archive, path)
+    return resolved(read_warc_files(spark, path))
 
 
 OP1_SQL = """
