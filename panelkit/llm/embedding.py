@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by int8 tile products with rigorous error bounds.
 
-Equal vectors form a class; one vector stands for it. Classes are dealt into blocks by hash, and each pair of blocks is
-a tile of a bounded size, so a task never holds more than two blocks. In a tile all vectors are scaled to length 1 and
+Equal vectors form a class; one vector stands for it. A class has a 64-bit id, and a second hash shows if two different
+vectors ever share one; then all ids are made anew. Classes are dealt into blocks by hash, bounded in vectors and bytes,
+and each pair of blocks is a tile of a bounded size, so a task never holds more than two blocks. In a tile all vectors are scaled to length 1 and
 rounded to 8 bits, ``u = s q + e``, and the length ``d`` of each rounding error is kept. For two vectors the product of
 the rounded ones differs from the cosine by at most ``d_u + d_v + d_u d_v``: what is surely above or below the threshold
 is settled by the integer product (exact in a float product of such small integers), and only pairs for which it could go
@@ -26,11 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._work import keep, pick
+from ._work import forget, keep, pick
 
 COSINE = 0.95
 #: Most vectors of a block, and the least number of blocks (so that few vectors still make enough tiles for all cores).
 BLOCK, LEAST_BLOCKS = 16_384, 8
+#: Bytes of a block's vectors in double precision; a tile holds two blocks, and a copy of parts of them at a time.
+BLOCK_BYTES = 64 << 20
+#: Should two different vectors share a 64-bit id, which a second hash shows, all ids are made anew.
+SALTS = 4
 #: Side of the products within a tile.
 SIDE = 1024
 #: More than any rounding of the double arithmetic here, for dimensions up to a million.
@@ -92,25 +97,20 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _tile(rows: pa.Table, cosine: float) -> pa.Table:
     ids, copies = rows.column("set_id").to_numpy(), rows.column("m").to_numpy()
     block = rows.column("block").to_numpy()
-    vectors = rows.column("embedding").combine_chunks()
-    size = vectors.value_lengths().to_numpy()
-    at = np.concatenate([[0], np.cumsum(size)])
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    size = rows.column("embedding").combine_chunks().value_lengths().to_numpy()
     links = np.zeros(len(ids), dtype=np.int64)
     edges_a, edges_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     own = bool(rows.column("own")[0].as_py())
-    for dims in np.unique(size):
+    for dims in np.unique(size).tolist():
         mine = np.flatnonzero(size == dims)
-        x = unit(flat[at[mine][:, None] + np.arange(dims)])
         sides = [mine[block[mine] == k] for k in np.unique(block[mine])]
         if len(sides) == 1 and not own:
             continue  # the other block has no such vector
-        place = np.empty(len(ids), dtype=np.int64)
-        place[mine] = np.arange(len(mine))
-        left, right = sides[0], sides[-1]
-        cut = {id(s): [(s[k : k + SIDE], x[place[s[k : k + SIDE]]], quantised(x[place[s[k : k + SIDE]]])) for k in range(0, len(s), SIDE)] for s in (left, right)}
-        for p, (rows_a, u, qu) in enumerate(cut[id(left)]):
-            for k, (rows_b, v, qv) in enumerate(cut[id(right)]):
+        # vectors stay as they came; doubles, and their rounded form, are made for one part of each side at a time
+        left = [(part, *_part(rows, part, dims)) for part in _parts(sides[0])]
+        for k, part in enumerate(_parts(sides[-1])):
+            _, v, qv = left[k] if own else (part, *_part(rows, part, dims))
+            for p, (rows_a, u, qu) in enumerate(left):
                 if own and k < p:
                     continue
                 i, j = tile_links(u, v, qu, qv, cosine)
@@ -118,10 +118,10 @@ def _tile(rows: pa.Table, cosine: float) -> pa.Table:
                     i, j = i[i < j], j[i < j]
                 if not len(i):
                     continue
-                links += np.bincount(rows_a[i], weights=copies[rows_b[j]], minlength=len(ids)).astype(np.int64)
-                links += np.bincount(rows_b[j], weights=copies[rows_a[i]], minlength=len(ids)).astype(np.int64)
-                a, b = forest(len(rows_a) + len(rows_b), i, j + len(rows_a))
-                both = np.concatenate([rows_a, rows_b])
+                links += np.bincount(rows_a[i], weights=copies[part[j]], minlength=len(ids)).astype(np.int64)
+                links += np.bincount(part[j], weights=copies[rows_a[i]], minlength=len(ids)).astype(np.int64)
+                a, b = forest(len(rows_a) + len(part), i, j + len(rows_a))
+                both = np.concatenate([rows_a, part])
                 edges_a.append(both[a])
                 edges_b.append(both[b])
     a, b = forest(len(ids), np.concatenate(edges_a), np.concatenate(edges_b))
@@ -129,14 +129,36 @@ def _tile(rows: pa.Table, cosine: float) -> pa.Table:
     return pa.table({"set_id": np.concatenate([ids[some], ids[b]]), "links": np.concatenate([links[some], np.zeros(len(b), np.int64)]), "to": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[a], pa.int64())])})
 
 
+def _parts(rows: np.ndarray) -> list[np.ndarray]:
+    return [rows[k : k + SIDE] for k in range(0, len(rows), SIDE)]
+
+
+def _part(rows: pa.Table, some: np.ndarray, dims: int) -> tuple[np.ndarray, tuple]:
+    """Unit vectors of some rows, and their rounded form."""
+    flat = rows.column("embedding").take(pa.array(some)).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    u = unit(flat.astype(np.float64).reshape(len(some), dims))
+    return u, quantised(u)
+
+
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row."""
     rows = pick(vectors, vec_id=vec_id, embedding=embedding)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("set_id", F.when(valid, F.xxhash64("embedding")))
-    classes = keep(rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("m"), F.any_value("embedding").alias("embedding")), "embedding-classes")
-    blocks = max(LEAST_BLOCKS, -(-classes.count() // BLOCK))
+    rows = rows.withColumn("valid", valid)
+    for salt in range(SALTS):
+        named = rows.withColumn("set_id", F.when(F.col("valid"), F.xxhash64(F.lit(salt), "embedding")))
+        check = F.xxhash64(F.lit(-1 - salt), "embedding")
+        parts = [F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("m"), F.any_value("embedding").alias("embedding"), F.min(check).alias("check"), F.max(check).alias("check_too")]
+        classes = keep(named.where("valid").groupBy("set_id").agg(*parts), "embedding-classes")
+        held = classes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("embedding")).alias("size"), F.coalesce(F.max(F.col("check") != F.col("check_too")), F.lit(False)).alias("mixed")).first()
+        if not held["mixed"]:
+            break
+        forget(classes)
+    else:
+        raise RuntimeError("different vectors share an id under every salt")
+    rows = named
+    blocks = max(LEAST_BLOCKS, -(-held["n"] // BLOCK), -(-(held["size"] or 0) * 8 // BLOCK_BYTES))
     dealt = (
         classes.select("set_id", "m", "embedding", F.pmod("set_id", F.lit(blocks)).cast("int").alias("block"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
