@@ -208,15 +208,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 32) - 1))
     if n > max_sample:
         known = known.where(place < int((1 << 32) * 0.97 * max_sample / n)).orderBy(place, "doc_id").limit(max_sample)
-    own = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string")).join(F.broadcast(known), "doc_id")
+    own = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string")).join(F.broadcast(known), "doc_id").withColumn("place", F.xxhash64("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _statistics_of(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("place"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "place", "x"])
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    rows = own.mapInArrow(work, f"doc_id {kind}, y double, x array<double>").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    # of several texts of one id always the same one is learned from
+    one = own.mapInArrow(work, f"doc_id {kind}, y double, place long, x array<double>").groupBy("doc_id").agg(F.min(F.struct("place", "y", "x")).alias("one"))
+    rows = one.orderBy(F.xxhash64("doc_id"), "doc_id").select("one.y", "one.x").collect()
     return grow(np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), N_STATISTICS), np.array([r["y"] for r in rows], dtype=float))
 
 
@@ -243,5 +245,5 @@ def held_out(doc_id: Column) -> Column:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from labels that aren't held out, and score all ``documents``."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    forest = train(docs, labels.where(~held_out(F.col("doc_id"))))
+    forest = train(docs, pick(labels, doc_id="doc_id", quality="quality").where(~held_out(F.col("doc_id"))))
     return score(docs, forest).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -146,6 +146,10 @@ def test_quality_cases(spark):
     none = quality.train(docs, labels.limit(0))
     assert {r["score"] for r in quality.score(docs, none).collect()} == {0.5}
     assert quality.score(empty(spark), forest).count() == 0
+    twice = [(1, "one text of an id", "en", "a"), (1, "Another, quite different! 12345", "en", "a"), (2, "x y z", "en", "a")]
+    marks = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, other int")
+    forests = [quality.train(frame(spark, twice[::step], n), marks.toDF("doc_id", "quality", "Doc_Id")) for step, n in ((1, 1), (-1, 3))]
+    assert np.array_equal(forests[0].threshold, forests[1].threshold) and np.array_equal(forests[0].value, forests[1].value)
     few = quality.train(docs, labels, max_sample=4)
     assert len(few.roots) == quality.TREES
 

@@ -35,17 +35,46 @@ def test_archive_round_trip(spark, tmp_path):
     archive = warc.write_archive(warc.records_of_pages(table))
     stored = spark.read.parquet(archive.payloads)
     assert stored.count() == len({r[2] or "" for r in rows})  # payload bytes once
-    back = warc.read_archive(spark, archive).withColumn("record", warc.record_bytes()).collect()
+    back = warc.read_archive(spark, archive).collect()
     assert ordered((r["page_id"], bytes(r["payload"]).decode()) for r in back) == ordered((r[0], r[2] or "") for r in rows)
     for r in back:
-        assert bytes(r["record"]).startswith(b"WARC/1.1\r\n") and bytes(r["record"]).endswith(b"\r\n\r\n") and "Injected: 1\r\n" not in r["header"].split("%0A")[0]
+        assert r["header"].startswith("WARC/1.1\r\n") and r["header"].endswith("\r\n\r\n") and "Injected: 1\r\n" not in r["header"].split("%0A")[0]
     path = str(tmp_path / "warc")
-    warc.write_warc_files(warc.read_archive(spark, archive), path)
-    records = [x for f in Path(path).glob("*.gz") for x in warc.parse_warc(gzip.decompress(f.read_bytes()))]
-    assert len(records) == len(rows)
+    warc.write_warc_files(spark, archive, path)
+    # any reader of gzip finds whole records, whose blocks are as long as they say
+    records = []
+    for f in Path(path).glob("part-*"):
+        content = gzip.decompress(f.read_bytes())
+        assert [h + b + b"\r\n\r\n" for h, b in warc.parse_warc(f.read_bytes())] == [x + b"" for x in split_records(content)]
+        records += list(warc.parse_warc(f.read_bytes()))
+    assert Counter(h.decode() for h, _ in records) == Counter(r["header"] for r in back)
     full = Counter(b for h, b in records if b"WARC-Type: response" in h)
     assert full[("x\r\n\r\ny\n" * 300).encode()] == 2 and full[("<p>" + "é" * 600 + "</p>").encode()] == 1
-    assert sum(b"WARC-Type: revisit" in h for h, _ in records) == 3
+    assert sum(b"WARC-Type: revisit" in h and b == b"" for h, b in records) == 3
+    # each record begins a member of its own
+    one = min(Path(path).glob("part-*"), key=lambda f: -f.stat().st_size).read_bytes()
+    first = zlib.decompressobj(31)
+    assert first.decompress(one).endswith(b"\r\n\r\n") and (not first.unused_data or first.unused_data[:2] == b"\x1f\x8b")
+    assert Counter((r["header"], bytes(r["block"])) for r in warc.read_warc_files(spark, path).collect()) == Counter((h.decode(), b) for h, b in records)
+
+
+def split_records(content):
+    while content:
+        end = content.index(b"\r\n\r\n") + 4
+        size = int(content[:end].split(b"Content-Length: ")[1].split(b"\r\n")[0])
+        yield content[: end + size + 4]
+        content = content[end + size + 4 :]
+
+
+def test_records_of_many_members(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 50)
+    records = [(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % n, bytes(range(256)) * 9) for n in (0, 1, 700, 2000)]
+    records = [(h, b[: int(h.split()[2])]) for h, b in records]
+    content = b"".join(warc.members(h + b + b"\r\n\r\n") for h, b in records)
+    assert list(warc.parse_warc(content)) == records and all(warc.members(h + b)[-1] == 0 for h, b in records)
+    for broken in (content[:-30], content.replace(b"\x1f\x8b", b"\x1f\x8a")):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.parse_warc(broken))
 
 
 def test_archive_refuses_changed_payloads(spark):
@@ -296,6 +325,7 @@ def brute_embeddings(rows):
 
 @pytest.mark.parametrize("side", [1024, 16])
 def test_embeddings(spark, monkeypatch, side):
+    monkeypatch.setattr(embedding, "LEAST_BLOCKS", 3 if side == 16 else 8)
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=8).tolist()) for k in range(60)]
     for k in range(40):  # families near the threshold
@@ -309,6 +339,27 @@ def test_embeddings(spark, monkeypatch, side):
     assert embedding.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("own", [False, True])
+def test_tile_of_many_parts(monkeypatch, own):
+    """What a worker does with a tile, of high dimensions and in small parts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(embedding, "SIDE", 7)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6, 4096))
+    x = np.concatenate([base, *(base + rng.normal(size=base.shape) * e for e in (0.1, 0.3, 0.32, 0.34, 0.5))])
+    block = np.zeros(len(x), int) if own else np.arange(len(x)) // 6 % 2
+    table = pa.table({"set_id": np.arange(len(x)) * 10, "m": np.arange(len(x)) + 1, "block": block, "own": [own] * len(x), "embedding": pa.array(list(x), pa.list_(pa.float64()))})
+    got = embedding._tile(table, 0.95).to_pylist()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool) & (own | (block[:, None] != block))
+    links = Counter()
+    for r in got:
+        links[r["set_id"]] += r["links"]
+    assert +links == +Counter({k * 10: int((linked[k] * (np.arange(len(x)) + 1)).sum()) for k in range(len(x))})
+    assert all(linked[r["set_id"] // 10].any() for r in got) and any(r["to"] is not None for r in got)
+
+
 @pytest.mark.parametrize("dims", [3, 64, 1500])
 def test_error_bounds_hold(dims):
     rng = np.random.default_rng(dims)
