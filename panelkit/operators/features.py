@@ -93,15 +93,20 @@ def market_returns(df: DataFrame, min_tickers: int = MIN_TICKERS) -> DataFrame:
 
 
 def add_market_return(df: DataFrame, min_tickers: int = MIN_TICKERS) -> DataFrame:
-    """Join the market's return to each row; one row per date, so the joined side is small and may be broadcast."""
-    return df.join(market_returns(df, min_tickers), "date", "left")
+    """Join the market's return to each row. The joined side has one row per date, so it is broadcast."""
+    return df.join(F.broadcast(market_returns(df, min_tickers)), "date", "left")
 
 
 def market_variance(market: DataFrame, window=60) -> DataFrame:
     """date, mkt_var{w}: rolling sample variance of the market over the calendar of dates. market: date, mkt_logret."""
+    return _with_variance(market, as_list(window)).select("date", *[f"mkt_var{w}" for w in as_list(window)])
+
+
+def _with_variance(market: DataFrame, windows: list[int]) -> DataFrame:
+    """``market`` with ``mkt_var{w}``."""
     calendar = Window.orderBy("date")  # one row per date
     x = F.col("mkt_logret")
-    return market.select("date", *[full(F.var_samp(x), x, calendar, w).alias(f"mkt_var{w}") for w in as_list(window)])
+    return market.withColumns({f"mkt_var{w}": full(F.var_samp(x), x, calendar, w) for w in windows})
 
 
 def add_beta(df: DataFrame, window=60, min_tickers: int = MIN_TICKERS, by_sums: bool = True) -> DataFrame:
@@ -112,11 +117,10 @@ def add_beta(df: DataFrame, window=60, min_tickers: int = MIN_TICKERS, by_sums:
     windows = as_list(window)
     if "mkt_logret" in df.columns:
         market = df.groupBy("date").agg(F.max("mkt_logret").alias("mkt_logret"))
-        joined = df.join(market_variance(market, windows), "date", "left")
+        market = _with_variance(market, windows).drop("mkt_logret")
     else:
-        market = market_returns(df, min_tickers)
-        calendar = market_variance(market, windows).withColumnRenamed("date", "_day")
-        joined = df.join(market.join(calendar, market["date"] == calendar["_day"]).drop("_day"), "date", "left")
+        market = _with_variance(market_returns(df, min_tickers), windows)
+    joined = df.join(F.broadcast(market), "date", "left")  # one row per date
     both = F.col("logret") + F.col("mkt_logret")
     long = [w for w in windows if by_sums and w >= LONG]
     covariance = {}

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import statistics
 
 import numpy as np
 import pytest
@@ -9,28 +10,45 @@ from pyspark.sql import functions as F
 
 from panelkit.operators import features as ft
 
-BETA = [("A", 1, 0.02), ("A", 2, 0.04), ("A", 3, -0.02), ("B", 1, 0.0), ("B", 2, 0.02), ("B", 3, 0.02)]
-AS_GIVEN = [("A", 1, 0.02), ("A", 2, 0.04), ("A", 3, -0.02), ("B", 1, 0.0), ("B", 2, 0.01), ("B", 3, 0.01), ("C", 1, 1.0), ("C", 2, 1.0), ("C", 3, 1.0)]
+#: Log returns of three tickers; the last one begins late, so its own rows and the market's calendar differ.
+RETURNS = {"oak": [0.03, -0.01, 0.02, 0.05, 0.08], "elm": [0.01, 0.03, -0.02, 0.01, 0.06], "fir": [None, None, 0.06, -0.03, 0.01]}
+SERIES = [(t, d, x) for t, values in RETURNS.items() for d, x in enumerate(values) if x is not None]
+BETA_SCHEMA = "ticker string, date int, logret double"
 
 
 def _column(df, name):
     return [r[name] for r in df.orderBy("ticker", "date").collect()]
 
 
-def test_beta_hand_computed(spark):
-    df = ft.add_beta(spark.createDataFrame(BETA, "ticker string, date int, logret double"), [2, 3], min_tickers=1)
-    two, three = _column(df, "beta2"), _column(df, "beta3")
-    assert two == pytest.approx([None, 1.0, 2.0, None, 1.0, 0.0], abs=1e-9)
-    assert three[2] == pytest.approx(1.857143, abs=1e-6) and three[5] == pytest.approx(0.142857, abs=1e-6)
-    df = ft.add_beta(spark.createDataFrame(AS_GIVEN, "ticker string, date int, logret double"), [2], min_tickers=1)
-    got = _column(df, "beta2")
-    assert [x is None for x in got] == [True, False, False] * 3
-    assert [x for x in got if x is not None] == pytest.approx([2, 3, 1, 0, 0, 0], abs=1e-9)
+def expected_betas(window):
+    """Covariance of a ticker's last rows with the market, over the variance of the market's last dates; lists and loops."""
+    dates = range(5)
+    market = {d: statistics.fmean([x for _, at, x in SERIES if at == d]) for d in dates}
+    out = []
+    for t in sorted(RETURNS):
+        own = [(d, x) for at, d, x in SERIES if at == t]
+        for k, (d, _) in enumerate(own):
+            if k + 1 < window or d + 1 < window:
+                out.append(None)
+                continue
+            last = own[k + 1 - window : k + 1]
+            mean_x, mean_m = statistics.fmean([x for _, x in last]), statistics.fmean([market[at] for at, _ in last])
+            covariance = sum((x - mean_x) * (market[at] - mean_m) for at, x in last) / (window - 1)
+            out.append(covariance / statistics.variance([market[at] for at in range(d + 1 - window, d + 1)]))
+    return out
+
+
+def test_beta_by_definition(spark):
+    df = ft.add_beta(spark.createDataFrame(SERIES, BETA_SCHEMA), [2, 3], min_tickers=1)
+    for w in (2, 3):
+        assert _column(df, f"beta{w}") == pytest.approx(expected_betas(w), abs=1e-9)
+    given = ft.add_market_return(spark.createDataFrame(SERIES, BETA_SCHEMA), 1)  # the market is there already
+    assert _column(ft.add_beta(given, 3), "beta3") == pytest.approx(expected_betas(3), abs=1e-9)
 
 
 def test_too_few_tickers_have_no_market(spark):
-    df = ft.add_beta(spark.createDataFrame(AS_GIVEN, "ticker string, date int, logret double"), [2])
-    assert set(_column(df, "beta2")) == {None} and set(_column(df, "mkt_logret")) == {None} and set(_column(df, "n_tickers")) == {3}
+    df = ft.add_beta(spark.createDataFrame(SERIES, BETA_SCHEMA), [2])
+    assert set(_column(df, "beta2")) == {None} and set(_column(df, "mkt_logret")) == {None} and set(_column(df, "n_tickers")) == {2, 3}
 
 
 def test_market_has_beta_one_to_itself(spark):
