@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from panelkit import __main__ as cli
 from panelkit.operators import evaluation as ev
 from panelkit.operators import features as ft
-from panelkit.operators import signals
+from panelkit.operators import reports, signals
 from panelkit.plans import workflow
 
 
@@ -49,6 +51,17 @@ def test_ic_ranks_and_groups_in_one_move(spark, tmp_path):
     assert plan.count("Exchange") == 1
 
 
+def test_reports_move_rows_three_times(spark, tmp_path):
+    df = _prices(spark, tmp_path).withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("date")))
+    plan = _plan(reports.compare_reports(df, ["close", "open", "volume"], "open"))
+    assert plan.count("Exchange") == 3 and plan.count("FileScan") == 1
+
+
+def test_the_market_is_broadcast_and_made_once(spark, tmp_path):
+    plan = _plan(ft.add_beta(ft.add_log_returns(_prices(spark, tmp_path)), (5, 60)))
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan and plan.count("FileScan") == 2
+
+
 def test_workflow_from_files(spark, tmp_path, capsys):
     raw = tmp_path / "raw"
     raw.mkdir()
