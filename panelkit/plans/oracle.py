@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from ..functions.stats import ROOT_2_PI, TAIL_BREAK, TAIL_DENOMINATOR, TAIL_END, TAIL_NUMERATOR
-from ..operators.fdr import LAMBDAS, smoothing_weights
+# Fixed values, written here for themselves and not taken from the engine: 1463 times the weights of the least-squares
+# cubic's last value over 19 even steps (exact integers), and the published constants of a rational approximation to the
+# normal tail, with where it ends.
+CUBIC_END = (-136, -16, 59, 96, 102, 84, 49, 4, -44, -88, -121, -136, -126, -84, -3, 124, 304, 544, 851)
+TAIL_TOP = ("0.0352624965998911", "0.700383064443688", "6.37396220353165", "33.912866078383", "112.079291497871", "221.213596169931", "220.206867912376")
+TAIL_BOTTOM = ("0.0883883476483184", "1.75566716318264", "16.064177579207", "86.7807322029461", "296.564248779674", "637.333633378831", "793.826512519948", "440.413735824752")
+TAIL_FAR, TAIL_NONE, ROOT_OF_TWO_PI = "7.07106781186547", "37", "2.5066282746310002"
 
 DAILY = """
 p AS (
@@ -169,7 +174,7 @@ PVALUES = """WITH v AS (
   FROM (SELECT signal, CAST(regexp_extract(signal, '(\\d+)', 1) AS BIGINT) AS n FROM (SELECT DISTINCT p_brand AS signal FROM part))
 ), k AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS n FROM v WHERE p IS NOT NULL)
 """
-PI0 = "CASE WHEN count(p) < 20 THEN 1.0 ELSE least(greatest(" + " + ".join(f"({w!r}::DOUBLE) * avg(CASE WHEN p > {lam!r}::DOUBLE THEN 1.0 ELSE 0.0 END) / {1 - lam!r}::DOUBLE" for lam, w in zip(LAMBDAS, smoothing_weights(), strict=True)) + ", 0.0), 1.0) END"
+PI0 = "CASE WHEN count(p) < 20 THEN 1.0 ELSE least(greatest(" + " + ".join(f"({w!r}::DOUBLE) * avg(CASE WHEN p > {lam!r}::DOUBLE THEN 1.0 ELSE 0.0 END) / {1 - lam!r}::DOUBLE" for lam, w in [(0.05 * k, n / 1463) for k, n in enumerate(CUBIC_END, 1)]) + ", 0.0), 1.0) END"
 FDR = (
     PVALUES
     + f""", pz AS (SELECT CAST({PI0} AS DOUBLE) AS pi0 FROM k),
@@ -187,15 +192,15 @@ def tail(x: str) -> str:
     """Two-sided normal p-value of a t-statistic, by Horner's rule in SQL."""
     a = f"abs({x})"
 
-    def horner(values: tuple[float, ...]) -> str:
-        out = f"{values[0]!r}::DOUBLE"
+    def horner(values: tuple[str, ...]) -> str:
+        out = f"{values[0]}::DOUBLE"
         for v in values[1:]:
-            out = f"({out} * {a} + {v!r}::DOUBLE)"
+            out = f"({out} * {a} + {v}::DOUBLE)"
         return out
 
     e = f"exp(-{a} * {a} / 2)"
-    far = f"{e} / ({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65::DOUBLE))))) / {ROOT_2_PI!r}::DOUBLE"
-    return f"2 * CASE WHEN {x} IS NULL THEN NULL WHEN {a} > {TAIL_END!r}::DOUBLE THEN 0 WHEN {a} < {TAIL_BREAK!r}::DOUBLE THEN {e} * {horner(TAIL_NUMERATOR)} / {horner(TAIL_DENOMINATOR)} ELSE {far} END"
+    far = f"{e} / ({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65::DOUBLE))))) / {ROOT_OF_TWO_PI}::DOUBLE"
+    return f"2 * CASE WHEN {x} IS NULL THEN NULL WHEN {a} > {TAIL_NONE}::DOUBLE THEN 0 WHEN {a} < {TAIL_FAR}::DOUBLE THEN {e} * {horner(TAIL_TOP)} / {horner(TAIL_BOTTOM)} ELSE {far} END"
 
 
 def decay(horizons: tuple[int, ...]) -> str:

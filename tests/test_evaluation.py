@@ -124,11 +124,11 @@ def test_reports_equal_their_parts(spark):
 
 
 def test_decile_spread_has_a_null_bucket(spark):
-    df = spark.createDataFrame(PANELS["with_nulls"], "ticker string, date int, feat double").withColumn("fwdret", F.lit(1.0))
+    df = spark.createDataFrame(PANELS["some_missing"], "ticker string, date int, feat double").withColumn("fwdret", F.lit(1.0))
     assert None in {r["bucket"] for r in ev.decile_spread(df, "feat").collect()}
 
 
 def test_heatmap_has_the_cells_of_all_tickers(spark):
-    df = spark.createDataFrame(PANELS["multidate"], "ticker string, date int, feat double")
-    assert sorted(map(tuple, ev.heatmap(df, "feat").collect())) == sorted(PANELS["multidate"])
-    assert {r["ticker"] for r in ev.heatmap(df, "feat", ["A", "C"]).collect()} == {"A", "C"}
+    df = spark.createDataFrame(PANELS["many_dates"], "ticker string, date int, feat double")
+    assert sorted(map(tuple, ev.heatmap(df, "feat").collect())) == sorted(PANELS["many_dates"])
+    assert {r["ticker"] for r in ev.heatmap(df, "feat", ["oak", "fir"]).collect()} == {"oak", "fir"}

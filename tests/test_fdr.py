@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from panelkit.operators import fdr
-from tests.panels import PVALUES
+from tests.panels import PVALUES, q_values, step_up
 
 
 def _frame(spark, p):
@@ -16,7 +16,9 @@ def _frame(spark, p):
 
 @pytest.mark.parametrize("name", PVALUES)
 def test_report(spark, name):
-    p, bh, by, q = PVALUES[name]
+    p = PVALUES[name]
+    bh, by, q = step_up(p, fdr.ALPHA, False), step_up(p, fdr.ALPHA, True), q_values(p)
+    assert (bh, by) == {"tiny": (4, 4), "large": (0, 0), "one": (1, 1), "equal": (5, 0), "on_the_line": (2, 0), "missing": (2, 2), "nothing": (0, 0), "bh_alone": (4, 0)}[name]
     rows = fdr.fdr_report(_frame(spark, p)).collect()
     assert len(rows) == len(p)
     assert sum(r["survives_bh"] for r in rows) == bh and sum(r["survives_by"] for r in rows) == by
