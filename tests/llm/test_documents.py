@@ -369,3 +369,18 @@ def test_secrets(spark):
     text = secrets._text(F.col("findings"))
     line = secrets.scan(frame(spark, rows[:1])).select(text).first()[0]
     assert line.split(",")[0].startswith("assign:0:")
+
+
+@pytest.mark.parametrize("texts", [[None, None, None], ["", "", None], ["12 34", "!?", " ", "12 34"]])
+def test_tables_of_nothing(spark, texts):
+    """Whole tables, and so whole batches, of null, empty or letterless texts, also split over partitions."""
+    rows = [(k, t) for k, t in enumerate(texts)]
+    docs = frame(spark, [(*r, "en", "a") for r in rows], 2)
+    bench = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
+    got = decontaminate.find(docs, bench).collect()
+    assert ordered((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got) == brute_decontaminate(rows, [(1, None), (2, "")])
+    got = minhash.near_duplicates(docs).collect()
+    assert ordered((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_minhash(rows)
+    got = substring.repeats(docs).collect()
+    assert ordered((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in got) == brute_substring(rows)
+    assert [r["findings"] for r in secrets.scan(docs).collect()] == [[]] * len(rows)
