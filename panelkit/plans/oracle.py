@@ -260,7 +260,7 @@ def corr_rows(columns: tuple[str, ...]) -> str:
     return on(DAILY, BASE) + ", cc AS (SELECT * FROM b WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in columns) + ") " + " UNION ALL ".join(one)
 
 
-def all_features(windows: tuple[int, ...] = (5, 20, 60, 252), betas: tuple[int, ...] = (60,)) -> str:
+def all_features(windows: tuple[int, ...], betas: tuple[int, ...]) -> str:
     cols = ", ".join([*(r(lagged(n), 6) + f" AS mom{n}" for n in windows), *(r(full("stddev_samp(logret)", "logret", n), 6) + f" AS std{n}" for n in windows), *(r("ln(" + full("avg(close * volume)", "close", n) + ")", 6) + f" AS log_adv{n}" for n in windows)])
     fwd = "lead(logret) OVER (PARTITION BY ticker ORDER BY date)"
     inner = beta(betas, WEEKLY, 20).rsplit("SELECT ticker", 1)
@@ -273,6 +273,7 @@ def columns_of(p: str, digits: int) -> str:
 
 ORACLE: dict[str, str] = {
     "etl_clean_prices": columns_of(DAILY, 9),
+    "csv_scan": columns_of(DAILY, 9),
     "panel_daily": columns_of(DAILY, 9),
     "panel_monthly": columns_of(MONTHLY, 9),
     "panel_weekly": columns_of(WEEKLY, 9),
@@ -287,9 +288,9 @@ ORACLE: dict[str, str] = {
     "market_return": on(DAILY, RETURNS, market(DAILY, 100)) + f"SELECT ticker, date, {r('mkt')} AS mkt_logret, nt AS n_tickers FROM r LEFT JOIN mk ON date = kdate",
     "market_var": on(DAILY, RETURNS, market(DAILY, 100)) + f"SELECT kdate AS date, {r('CASE WHEN count(mkt) OVER w = 5 THEN var_samp(mkt) OVER w END')} AS mkt_var5 FROM mk WINDOW w AS (ORDER BY kdate ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)",
     "rolling_beta": beta((5, 10), DAILY, 100),
+    "rolling_beta_joined": beta((5, 10), DAILY, 100),
     "rolling_beta_weekly": beta((60, 252), WEEKLY, 20),
-    "features_all": all_features(),
-    "features_all_windows": all_features((5, 10, 20, 60, 120, 252), (60, 252)),
+    "features_all": all_features((5, 10, 20, 60, 120, 252), (60, 252)),
     "missing_days": on(DAILY) + "SELECT ticker, date, CAST(date_diff('day', lag(date) OVER (PARTITION BY ticker ORDER BY date), date) - 1 AS INT) AS missing_days FROM p",
     "zscore": signal(z(), "mom5_z"),
     "zscore_desc": signal(z("mom5", "-"), "mom5_z"),
@@ -302,6 +303,9 @@ ORACLE: dict[str, str] = {
     "quintile_n5": signal(decile("mom5", 5), "mom5_decile", "int"),
     "signal_zscore_tanh": on(DAILY, BASE) + f"SELECT ticker, date, {r('tanh(' + z('mom5') + ')')} AS mom5_zscore_tanh, {r('tanh(' + z('std5') + ')')} AS std5_zscore_tanh FROM b",
     "signal_zscore_clip": signal(f"CASE WHEN {z()} IS NOT NULL THEN greatest(-1.0, least(1.0, {z()})) END", "mom5_zscore_clip"),
+    "frame_signals": on(DAILY, BASE)
+    + f"SELECT ticker, date, {r(z())} AS mom5_z, {r(z('std5'))} AS std5_z, {r('tanh(2.0 * mom5)')} AS mom5_tanh, {r('CASE WHEN mom5 IS NOT NULL THEN greatest(-0.5, least(0.5, mom5)) END')} AS mom5_clip, "
+    + f"{r(rank('mom5'))} AS mom5_rank, {r(scaled('mom5'))} AS mom5_rank_scaled, CAST({decile('mom5')} AS INT) AS mom5_decile FROM b",
     "ic_spearman": on(DAILY, BASE) + "," + ic() + f" SELECT date, {r('ic')} AS ic FROM ic",
     "ic_pearson": on(DAILY, BASE) + f", c AS (SELECT * FROM b WHERE mom5 IS NOT NULL AND fwdret IS NOT NULL) SELECT date, {r(pearson('mom5', 'fwdret'))} AS ic FROM c GROUP BY date",
     "ic_summary": on(DAILY, BASE) + "," + ic() + " " + summary(),
@@ -328,8 +332,7 @@ SELECT lag, {r('avg(r)')} AS mean, {r('stddev_samp(r)')} AS std, CAST(count(r) A
     "coverage_per_date": on(DAILY, BASE) + "SELECT date, CAST(count(mom5) AS BIGINT) AS n FROM b GROUP BY date",
     "moments_per_date": on(DAILY, BASE) + f"SELECT date, {r('avg(mom5)')} AS mean, {r('stddev_samp(mom5)')} AS std FROM b GROUP BY date",
     "one_pager": on(DAILY, BASE) + f"SELECT date, CAST(count(mom5) AS BIGINT) AS n, {r('avg(mom5)')} AS mean, {r('stddev_samp(mom5)')} AS std FROM b GROUP BY date",
-    "heatmap": on(DAILY, BASE) + f"SELECT ticker, date, {r('mom5')} AS value FROM b WHERE ticker IN ('1', '2', '3')",
-    "heatmap_all": on(DAILY, BASE) + f"SELECT ticker, date, {r('mom5')} AS value FROM b",
+    "heatmap": on(DAILY, BASE) + f"SELECT ticker, date, {r('mom5')} AS value FROM b",
     "bh": FDR + "SELECT signal, survives_bh FROM out",
     "by": FDR + "SELECT signal, survives_by FROM out",
     "pi0": FDR + f"SELECT {r('pi0')} AS pi0 FROM pz",
@@ -345,12 +348,10 @@ SELECT lag, {r('avg(r)')} AS mean, {r('stddev_samp(r)')} AS std, CAST(count(r) A
     "null_counts": on(DAILY, BASE) + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(sum(CAST({c} IS NULL AS INT)) AS BIGINT) AS n_null, CAST(coalesce(sum(CAST(isnan({c}) AS INT)), 0) AS BIGINT) AS n_nan, CAST(coalesce(sum(CAST(isinf({c}) AS INT)), 0) AS BIGINT) AS n_inf FROM b" for c in ("mom5", "std5", "logret", "fwdret")),
     "unique_counts": on(DAILY) + "SELECT CAST(count(DISTINCT ticker) AS BIGINT) AS n_tickers, CAST(count(DISTINCT date) AS BIGINT) AS n_dates, CAST(count(*) AS BIGINT) AS n_rows FROM p",
     "rows_per_ticker": on(DAILY) + "SELECT ticker, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY ticker",
-    "pivot_wide": on(DAILY) + "SELECT date, " + ", ".join(f"{r(f'''max(close) FILTER (WHERE ticker = '{k}')''')} AS t{k}" for k in range(1, 6)) + " FROM p GROUP BY date",
-    "pivot_wide_all": on(DAILY) + f"SELECT date, list({{'ticker': ticker, 'value': {r('close')}}} ORDER BY ticker) AS cells FROM p GROUP BY date",
+    "pivot_wide": on(DAILY) + "SELECT date, CAST(count(*) AS BIGINT) AS n_tickers, string_agg(ticker || '=' || CAST(CAST(round(close, 6) AS DECIMAL(28,6)) AS VARCHAR), ',' ORDER BY ticker) AS closes FROM p GROUP BY date",
     "latest_cross_section": on(DAILY, BASE) + f"SELECT ticker, date, {', '.join(r(c) + ' AS ' + c for c in ('close', 'logret', 'fwdret', 'mom5', 'std5'))} FROM b WHERE date = (SELECT max(date) FROM b)",
     "mp_bounds": on(MONTHLY) + f", s AS (SELECT count(DISTINCT ticker) AS a, count(DISTINCT date) AS o FROM p) SELECT CAST(a AS BIGINT) AS n_assets, CAST(o AS BIGINT) AS n_obs, {r('power(1 - sqrt(a / CAST(o AS DOUBLE)), 2)')} AS low, {r('power(1 + sqrt(a / CAST(o AS DOUBLE)), 2)')} AS high FROM s",
-    "pairwise_correlations": on(MONTHLY, RETURNS) + f"SELECT a.ticker AS i, b.ticker AS j, {r(pearson('a.logret', 'b.logret'))} AS corr FROM r a JOIN r b USING (date) WHERE a.ticker < b.ticker AND a.ticker IN ('1','2','3','4') AND b.ticker IN ('1','2','3','4') GROUP BY 1, 2",
-    "pairwise_correlations_all": on(MONTHLY, RETURNS) + f"SELECT a.ticker AS i, b.ticker AS j, {r(pearson('a.logret', 'b.logret'))} AS corr FROM r a JOIN r b USING (date) WHERE a.ticker < b.ticker GROUP BY 1, 2",
+    "pairwise_correlations": on(MONTHLY, RETURNS) + f"SELECT a.ticker AS i, b.ticker AS j, {r(pearson('a.logret', 'b.logret'))} AS corr FROM r a JOIN r b USING (date) WHERE a.ticker < b.ticker GROUP BY 1, 2",
     "compare_reports": report(("mom5", "std5", "logret")),
     "signal_report": report(("mom5",)),
     "ic_pvalue": WEEKLY_IC + "," + newey_west() + f" SELECT {r('mean')} AS mean, {r('se')} AS se, {r('t_stat')} AS t_stat, max_lag, n, {r(tail('t_stat'))} AS p_value FROM nw",

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as ev
 from ..operators import features as ft
 from ..operators import fdr, inspection, reports, risk, signals, validation
-from ..sources import panels
+from ..sources import panels, workspace
+from ..sources import prices as files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,16 +77,8 @@ def market_var(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features on the weekly panel, with windows up to 252."""
-    return _features(ft.build_features(weekly(spark, sf_dir), (60,), (5, 20, 60, 252), min_tickers=20))
-
-
-def features_all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features on the weekly panel, with all windows that the operator builds by itself."""
-    return _features(ft.build_features(weekly(spark, sf_dir), min_tickers=20))
-
-
-def _features(df: DataFrame) -> DataFrame:
+    df = ft.build_features(weekly(spark, sf_dir), min_tickers=20)
     exact = ("close", "dollar_volume")  # quotients of decimals: fewer decimals would put some on the edge of rounding
     columns = [c for c in df.columns if c not in ("open", "high", "low")]
     return df.select(*[(F.round(c, 9 if c in exact else 6) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.select(*columns).dtypes])
@@ -127,16 +120,41 @@ def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pivot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(panels.wide(prices(spark, sf_dir), "close", ["1", "2", "3", "4", "5"]).select("date", *[F.col(f"`{k}`").alias(f"t{k}") for k in range(1, 6)]))
+    """One row per date with the closes of all its tickers, as text, so that any tickers have one schema."""
+    wide = panels.wide_cells(prices(spark, sf_dir), "close")
+    cell = lambda c: F.concat_ws("=", c["ticker"], F.round(c["value"], 6).cast("decimal(28,6)").cast("string"))
+    return wide.select("date", F.size("cells").cast("bigint").alias("n_tickers"), F.array_join(F.transform("cells", cell), ",").alias("closes"))
+
+
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file path as a whole: one CSV folder per ticker, scanned, cleaned, written in order and read back."""
+    raw = prices(spark, sf_dir).select("ticker", *[F.col(c).alias(c.capitalize()) for c in ("date", "open", "high", "low", "close")], F.col("close").alias("Adj Close"), F.col("volume").alias("Volume"))
+    folder = workspace.new_folder(spark, "csv-scan")
+    files.write_csv_per_ticker(raw, f"{folder}/raw")
+    return rounded(files.etl(spark, f"{folder}/raw/*/*.csv", f"{folder}/prices"))
+
+
+def frame_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each signal through its frame operator."""
+    df = base(spark, sf_dir).select("ticker", "date", "mom5", "std5")
+    df = signals.clip(signals.tanh(signals.z_score(df, ["mom5", "std5"]), "mom5", 2.0), "mom5", -0.5, 0.5)
+    return rounded(signals.decile(signals.rank_scaled(signals.rank(df, "mom5"), "mom5"), "mom5").drop("mom5", "std5"))
+
+
+def rolling_beta_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Betas of a panel that has the market's return already."""
+    df = ft.add_beta(ft.add_market_return(ft.add_log_returns(prices(spark, sf_dir))), [5, 10])
+    return rounded(df.select("ticker", "date", "beta5", "beta10"), 6)
 
 
-def pivot_wide_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.wide_cells(rounded(prices(spark, sf_dir).select("ticker", "date", "close")), "close")
+def monthly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ft.add_log_returns(monthly(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
     # sources and cleaning
     "etl_clean_prices": etl_clean_prices,
+    "csv_scan": csv_scan,
     "panel_daily": lambda s, d: rounded(prices(s, d)),
     "panel_monthly": lambda s, d: rounded(monthly(s, d)),
     "panel_weekly": lambda s, d: rounded(weekly(s, d)),
@@ -154,8 +172,8 @@ QUERIES: dict[str, Query] = {
     "market_var": market_var,
     "rolling_beta": _returns(lambda df: ft.add_beta(df, [5, 10]), "beta5", "beta10", digits=6),
     "rolling_beta_weekly": rolling_beta_weekly,
+    "rolling_beta_joined": rolling_beta_joined,
     "features_all": features_all,
-    "features_all_windows": features_all_windows,
     "missing_days": _daily(ft.missing_days, "missing_days"),
     # signals per date
     "zscore": _signal(signals.zscore_expr, "mom5_z"),
@@ -169,6 +187,7 @@ QUERIES: dict[str, Query] = {
     "quintile_n5": _signal(lambda x: signals.decile_expr(x, 5), "mom5_decile"),
     "signal_zscore_tanh": lambda s, d: rounded(signals.make_signal(base(s, d), ["mom5", "std5"]).select("ticker", "date", "mom5_zscore_tanh", "std5_zscore_tanh")),
     "signal_zscore_clip": lambda s, d: rounded(signals.make_signal(base(s, d), "mom5", "zscore_clip", low=-1, high=1).select("ticker", "date", "mom5_zscore_clip")),
+    "frame_signals": frame_signals,
     # evaluation
     "ic_spearman": lambda s, d: rounded(ic(s, d)),
     "ic_pearson": lambda s, d: rounded(ic(s, d, "pearson")),
@@ -195,8 +214,7 @@ QUERIES: dict[str, Query] = {
     "coverage_per_date": lambda s, d: ev.coverage_per_date(base(s, d), "mom5"),
     "moments_per_date": lambda s, d: rounded(ev.moments_per_date(base(s, d), "mom5")),
     "one_pager": lambda s, d: rounded(ev.one_pager(base(s, d), "mom5")),
-    "heatmap": lambda s, d: rounded(ev.heatmap(base(s, d), "mom5", ["1", "2", "3"])),
-    "heatmap_all": lambda s, d: rounded(ev.heatmap(base(s, d), "mom5")),
+    "heatmap": lambda s, d: rounded(ev.heatmap(base(s, d), "mom5")),
     # multiple testing
     "bh": lambda s, d: fdr.benjamini_hochberg(pvalues(s, d), 0.2).select("signal", "survives_bh"),
     "by": lambda s, d: fdr.benjamini_yekutieli(pvalues(s, d), 0.2).select("signal", "survives_by"),
@@ -216,11 +234,12 @@ QUERIES: dict[str, Query] = {
     "unique_counts": lambda s, d: inspection.unique_counts(prices(s, d)),
     "rows_per_ticker": lambda s, d: inspection.rows_per_ticker(prices(s, d)),
     "pivot_wide": pivot_wide,
-    "pivot_wide_all": pivot_wide_all,
     "latest_cross_section": lambda s, d: rounded(inspection.latest(base(s, d))),
     "normal_quantiles": lambda s, d: rounded(inspection.normal_quantiles(base(s, d), "logret", 9)),
     # correlation structure
     "mp_bounds": lambda s, d: rounded(risk.mp_bounds(monthly(s, d))),
-    "pairwise_correlations": lambda s, d: rounded(risk.pairwise_correlations(ft.add_log_returns(monthly(s, d)), "logret", ["1", "2", "3", "4"])),
-    "pairwise_correlations_all": lambda s, d: rounded(risk.all_correlations(ft.add_log_returns(monthly(s, d)), "logret")),
+    "pairwise_correlations": lambda s, d: rounded(risk.all_correlations(monthly_returns(s, d), "logret")),
+    "cleaned_correlations": lambda s, d: rounded(risk.cleaned_correlations(monthly_returns(s, d), "logret"), 6),
+    "absorption": lambda s, d: rounded(risk.absorption(monthly_returns(s, d), "logret", 5), 6),
+    "communities": lambda s, d: risk.communities(monthly_returns(s, d), "logret"),
 }

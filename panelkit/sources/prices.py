@@ -32,8 +32,10 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
 
 
 def clean_prices(raw: DataFrame) -> DataFrame:
-    """Typed, positive, distinct rows; the ticker comes from the file's name."""
-    name = F.try_url_decode(F.regexp_extract("filename", r"([^/]+)\.csv", 1))
+    """Typed, positive, distinct rows; the ticker comes from the folder ``ticker=...`` or else from the file's name."""
+    folder = F.regexp_extract("filename", r"/ticker=([^/]+)/[^/]+$", 1)
+    # a folder's name is escaped once by the writer and once more in the path
+    name = F.when(folder != "", F.try_url_decode(F.try_url_decode(folder))).otherwise(F.try_url_decode(F.regexp_extract("filename", r"([^/]+)\.csv", 1)))
     return (
         raw.select(
             name.alias("ticker"),

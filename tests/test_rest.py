@@ -117,6 +117,34 @@ def test_all_correlations_equal_the_pairwise_ones(spark, monkeypatch):
         assert got[k] is None if v is None else got[k] == pytest.approx(v, abs=1e-9), k
 
 
+def test_whole_matrix_operators_equal_numpy(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 12)) + rng.normal(size=(40, 3)).repeat(4, axis=1)
+    df = spark.createDataFrame([(f"t{t:02}", d, float(x[d, t])) for t in range(12) for d in range(40)], "ticker string, date int, x double")
+    corr = np.corrcoef(x.T)
+    values, vectors = np.linalg.eigh(corr)
+    low = values <= (1 + np.sqrt(12 / 40)) ** 2
+    rest = (vectors * np.where(low, values[low].mean(), values)) @ vectors.T
+    wanted = rest / np.sqrt(np.outer(np.diag(rest), np.diag(rest)))
+    got = {(r["i"], r["j"]): r["corr"] for r in risk.cleaned_correlations(df, "x").collect()}
+    assert len(got) == 66 and all(v == pytest.approx(wanted[int(i[1:]), int(j[1:])], abs=1e-9) for (i, j), v in got.items())
+    assert risk.absorption(df, "x", 3).first()["absorption"] == pytest.approx(values[-3:].sum() / 12)
+    member = {r["ticker"]: r["community"] for r in risk.communities(df, "x").collect()}
+    groups = [{member[f"t{t:02}"] for t in range(k, k + 4)} for k in (0, 4, 8)]
+    assert len(member) == 12 and all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+    none = df.where("false")
+    assert risk.cleaned_correlations(none, "x").count() == risk.communities(none, "x").count() == 0
+    assert risk.absorption(none, "x", 3).first()["absorption"] is None
+
+
+def test_csv_folders_of_odd_tickers_come_back(spark, tmp_path):
+    rows = [("A/B", "2020-01-02", 1.5, 2.0, 1.0, 9.0, 1.25, 10), ("BRK.B", "2020-01-03", 1.5, 2.0, 1.0, 9.0, 1.75, 20), ("x y%", "2020-01-03", 1.0, 1.0, 1.0, 1.0, -1.0, 5)]
+    raw = spark.createDataFrame(rows, "ticker string, Date string, Open double, High double, Low double, Close double, `Adj Close` double, Volume long")
+    prices.write_csv_per_ticker(raw, str(tmp_path / "raw"))
+    got = prices.etl(spark, f"{tmp_path}/raw/*/*.csv", str(tmp_path / "prices")).collect()
+    assert sorted((r["ticker"], str(r["date"]), r["close"], r["volume"]) for r in got) == [("A/B", "2020-01-02", 1.25, 10), ("BRK.B", "2020-01-03", 1.75, 20)]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
