@@ -25,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc": warc.OP1_SQL,
         "op2_decontaminate": decontaminate.OP2_SQL,
         "op4_minhash": minhash.OP4_SQL,
+        "op5_sharding": sharding.OP5_SQL,
         "op7_secrets": secrets.OP7_SQL,
         "op8_embedding": embedding.OP8_SQL,
         "op10_substring": substring.OP10_SQL,
