@@ -3,16 +3,16 @@
 Three kinds of strong findings stand by themselves: ``assign`` (a credential word that is assigned a value), ``access``
 (an access key id) and ``hex`` (a long run of hex digits). Weak parts mean little alone: an account name (``ident``), a
 bare 40-character key (``key``) and a service address (``endpoint``). They are reported only where the parts that
-complete a credential stand within ``SCOPE`` code points: a key next to an identifier, an identifier next to a secret,
-an endpoint next to both. That is an interval join: parts are dealt into buckets of ``SCOPE`` code points per document,
-and a weak part looks up the nearest starts of each role in its own bucket and the two beside it. A bucket holds the
-least and greatest start of a role, so parts are never paired up.
+complete a credential stand within ``SCOPE`` code points, from the end of one to the start of the other: a key next to
+an identifier, an identifier next to a secret, an endpoint next to both. That is an interval join: parts are dealt into
+all buckets of ``SCOPE`` code points that they touch, per document, and a weak part looks up each role in its own buckets
+and the two beside them. A bucket holds a role's least start and greatest end, so parts are never paired up.
 
 Matches come from splitting a text at a pattern and extracting the pattern: the lengths of pieces and matches in turn
 give every span. All of it is built-in functions.
 
 Defined cases: a null text has no findings; repeated rows each have a row of their own; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored; a very long part touches one bucket per ``SCOPE`` of its length.
 """
 
 from __future__ import annotations
@@ -87,16 +87,17 @@ def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     identifier, secret = ("access", "ident"), ("assign", "hex", "key")
     index = {k: i for i, k in enumerate(KINDS)}
     role = lambda kinds: F.col("kind").isin([index[k] for k in kinds])
-    placed = spans.withColumn("bucket", F.expr(f"begin div {scope}"))
-    ends = lambda name, kinds: [F.min(F.when(role(kinds), F.col("begin"))).alias(f"first_{name}"), F.max(F.when(role(kinds), F.col("begin"))).alias(f"last_{name}")]
-    cells = placed.groupBy("rid", "bucket").agg(*ends("id", identifier), *ends("secret", secret))
-    weak = placed.where(F.col("kind") >= BASE).withColumn("look", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    beside = weak.withColumnRenamed("bucket", "own").join(cells.withColumnRenamed("bucket", "look"), ["rid", "look"])
+    first, last = F.expr(f"begin div {scope}"), F.expr(f"`end` div {scope}")
+    placed = spans.where(role(identifier + secret)).withColumn("bucket", F.explode(F.sequence(first, last)))
+    reach = lambda name, kinds: [F.min(F.when(role(kinds), F.col("begin"))).alias(f"first_{name}"), F.max(F.when(role(kinds), F.col("end"))).alias(f"last_{name}")]
+    cells = placed.groupBy("rid", "bucket").agg(*reach("id", identifier), *reach("secret", secret))
+    weak = spans.where(F.col("kind") >= BASE).withColumns({"low": first, "high": last}).withColumn("bucket", F.explode(F.sequence(F.col("low") - 1, F.col("high") + 1)))
+    beside = weak.join(cells, ["rid", "bucket"])
 
     def near(name: str) -> Column:
-        # starts of one bucket are less than a scope apart; of the buckets beside it only the nearest start matters
-        first, last = F.col(f"first_{name}"), F.col(f"last_{name}")
-        nearest = F.when(F.col("look") < F.col("own"), F.col("begin") - last <= scope).when(F.col("look") > F.col("own"), first - F.col("begin") <= scope).otherwise(first.isNotNull())
+        # what lies in a bucket of the part itself is near; in the buckets before and behind only what reaches furthest matters
+        begins, ends = F.col(f"first_{name}"), F.col(f"last_{name}")
+        nearest = F.when(F.col("bucket") < F.col("low"), F.col("begin") - ends <= scope).when(F.col("bucket") > F.col("high"), begins - F.col("end") <= scope).otherwise(begins.isNotNull())
         return F.coalesce(nearest, F.lit(False))
 
     known = beside.groupBy("rid", "kind", "begin", "end").agg(F.max(near("id")).alias("id"), F.max(near("secret")).alias("secret"))
@@ -142,7 +143,7 @@ def _sql() -> str:
         f"FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, text, regexp_extract_all(text, {quoted(patterns[name])}) AS m, string_split_regex(text, {quoted(patterns[name])}) AS g FROM d))"
         for k, name in enumerate(KINDS)
     )
-    near = lambda kinds: f"EXISTS (SELECT 1 FROM f o WHERE o.rid = f.rid AND o.kind IN {kinds} AND abs(o.b - f.b) <= {SCOPE})"
+    near = lambda kinds: f"EXISTS (SELECT 1 FROM f o WHERE o.rid = f.rid AND o.kind IN {kinds} AND o.b <= f.e + {SCOPE} AND o.e >= f.b - {SCOPE})"
     name = "CASE kind " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(KINDS)) + " END"
     one = f"{name} || ':' || b || ':' || e"
     return f"""

@@ -337,9 +337,9 @@ def brute_secrets(text):
     found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
     base = len(found)
     weak = [(m.start(), k, m.end()) for k, p in ((3, secrets.IDENT), (4, secrets.KEY), (5, secrets.ENDPOINT)) for m in re.finditer(p, t, re.A)]
-    near = lambda at, kinds: any(k in kinds and abs(b - at) <= secrets.SCOPE for b, k, _ in found[:base] + weak)
+    near = lambda b, e, kinds: any(k in kinds and max(b - y, x - e) <= secrets.SCOPE for x, k, y in found[:base] + weak)
     for b, k, e in weak:
-        identified, secret = near(b, (1, 3)), near(b, (0, 2, 4))
+        identified, secret = near(b, e, (1, 3)), near(b, e, (0, 2, 4))
         if {4: identified, 3: secret, 5: identified and secret}[k]:
             found.append((b, k, e))
     return sorted(found)
@@ -356,6 +356,9 @@ SECRETS = [
     "user: bob " + "p " * 300 + "secret = abcdefghij https://far.example.com",
     "😀😀 user=al1 " + "y" * 380 + " token=abcdefghi http://h.example",
     "key " + "Zz9/" * 10 + " " + "q" * 500 + " login: root99",
+    "login=root99 https://" + "h" * 2000 + " " + "Zz9/" * 10,  # the end of a long part counts, not its start
+    *("." * pad + "user=al1" + "," * gap + "token=abcdefghi" for pad in (0, 385, 392, 393, 401) for gap in (399, 400, 401)),
+    *("." * pad + "token=abcdefghi" + "," * gap + "user=al1" for pad in (0, 385, 392, 393, 401) for gap in (399, 400, 401)),
 ]
 
 
