@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelkit.operators import inspection, risk, validation
+from panelkit.plans.queries import rounded, rounded_correlations
 from panelkit.sources import panels, prices
 from panelkit.streaming import ingest
 
@@ -117,6 +118,34 @@ def test_all_correlations_equal_the_pairwise_ones(spark, monkeypatch):
         assert got[k] is None if v is None else got[k] == pytest.approx(v, abs=1e-9), k
 
 
+def test_all_correlations_move_series_not_cells(spark, monkeypatch):
+    """Rows moved: a series once for each block, where every one of its cells went to each block."""
+    monkeypatch.setattr(risk, "BLOCK", 3)
+    tickers, dates = 60, 200
+    df = spark.range(tickers * dates).selectExpr(f"cast(id % {tickers} as string) AS ticker", f"cast(id / {tickers} as int) AS date", "sin(id * id) AS x").localCheckpoint()
+    moved = lambda: sum(s.shuffleWriteRecords() for s in stages())
+
+    def stages():
+        sc = spark.sparkContext
+        some = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return [some.apply(k) for k in range(some.size())]
+
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    before = moved()
+    assert risk.all_correlations(df, "x").count() == tickers * (tickers - 1) // 2
+    sc.listenerBus().waitUntilEmpty()
+    assert 0 < moved() - before < tickers * dates
+
+
+def test_rounded_correlations_equal_rounded(spark):
+    rng = np.random.default_rng(8)
+    ties = [k / 2e9 for k in range(-2001, 2001)] + [0.1234567885, -0.9999999995, 0.0000000005, 1.0, -1.0, -0.0, None, -1e-12]
+    df = spark.createDataFrame([(x,) for x in [*ties, *map(float, rng.uniform(-1, 1, 5000))]], "corr double")
+    for digits in (6, 9):
+        assert [str(r[0]) for r in rounded_correlations(df, digits).collect()] == [str(r[0]) for r in rounded(df, digits).collect()]
+
+
 def test_whole_matrix_operators_equal_numpy(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(40, 12)) + rng.normal(size=(40, 3)).repeat(4, axis=1)
