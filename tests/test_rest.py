@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,35 @@ def test_whole_matrix_operators_equal_numpy(spark):
     assert risk.absorption(none, "x", 3).first()["absorption"] is None
 
 
+@pytest.fixture(scope="module")
+def many():
+    """More tickers than a matrix taken apart whole: 2,100 of three groups, some without a date, one constant, one empty; as rows and as the matrix."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2100, 12)) + 1.5 * rng.normal(size=(3, 12)).repeat(700, axis=0)
+    some = rng.random(2100) < 0.1
+    x[some, rng.integers(0, 4, some.sum())] = np.nan
+    x[40:60, 5:8], x[7], x[8] = np.nan, 0.1, np.nan
+    corr = np.eye(2100)
+    for i in range(2100):
+        known = np.isfinite(x[i]) & np.isfinite(x)
+        with np.errstate(all="ignore"):
+            n = known.sum(axis=1)
+            u, v = np.where(known, x[i], 0), np.where(known, x, 0)
+            u, v = np.where(known, u - (u.sum(axis=1) / n)[:, None], 0), np.where(known, v - (v.sum(axis=1) / n)[:, None], 0)
+            c = (u * v).sum(axis=1) / np.sqrt((u * u).sum(axis=1) * (v * v).sum(axis=1))
+        corr[i] = np.where(np.isfinite(c) & (np.arange(2100) != 7) & (i != 7), c, 0)
+    np.fill_diagonal(corr, 1)
+    return pa.table({"ticker": [f"t{t:04}" for t in range(2100) for _ in range(12)], "date": list(range(12)) * 2100, "x": pa.array(x.ravel(), from_pandas=True)}), corr
+
+
+def test_absorption_of_many_tickers(spark, many):
+    table, corr = many
+    wanted = np.linalg.eigvalsh(corr)[-5:].sum() / 2100
+    assert risk.absorption(spark.createDataFrame(table), "x", 5).first()["absorption"] == pytest.approx(wanted, abs=1e-9)
+    none = spark.createDataFrame(table).withColumn("x", F.lit(None).cast("double"))
+    assert risk.absorption(none, "x", 5).first()["absorption"] == pytest.approx(5 / 2100)
+
+
 def test_csv_folders_of_odd_tickers_come_back(spark, tmp_path):
     rows = [("A/B", "2020-01-02", 1.5, 2.0, 1.0, 9.0, 1.25, 10), ("BRK.B", "2020-01-03", 1.5, 2.0, 1.0, 9.0, 1.75, 20), ("x y%", "2020-01-03", 1.0, 1.0, 1.0, 1.0, -1.0, 5)]
     raw = spark.createDataFrame(rows, "ticker string, Date string, Open double, High double, Low double, Close double, `Adj Close` double, Volume long")
