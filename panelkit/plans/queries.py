@@ -247,7 +247,7 @@ QUERIES: dict[str, Query] = {
     # correlation structure
     "mp_bounds": lambda s, d: rounded(risk.mp_bounds(monthly(s, d))),
     "pairwise_correlations": lambda s, d: rounded_correlations(risk.all_correlations(monthly_returns(s, d), "logret")),
-    "cleaned_correlations": lambda s, d: rounded(risk.cleaned_correlations(monthly_returns(s, d), "logret"), 6),
+    "cleaned_correlations": lambda s, d: rounded_correlations(risk.cleaned_correlations(monthly_returns(s, d), "logret"), 6),
     "absorption": lambda s, d: rounded(risk.absorption(monthly_returns(s, d), "logret", 5), 6),
     "communities": lambda s, d: risk.communities(monthly_returns(s, d), "logret"),
 }

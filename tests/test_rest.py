@@ -196,6 +196,14 @@ def test_absorption_of_many_tickers(spark, many):
     assert risk.absorption(none, "x", 5).first()["absorption"] == pytest.approx(5 / 2100)
 
 
+def test_cleaned_correlations_of_many_tickers(spark, many):
+    table, corr = many
+    got = risk.cleaned_correlations(spark.createDataFrame(table), "x").toArrow()
+    i, j = (np.array([int(t[1:]) for t in got.column(c).to_pylist()]) for c in ("i", "j"))
+    assert len(got) == 2100 * 2099 // 2 == len(set(zip(i.tolist(), j.tolist(), strict=True))) and (i < j).all()
+    assert np.abs(got.column("corr").to_numpy() - risk.clean_correlation_matrix(corr, 12)[i, j]).max() < 1e-8
+
+
 def test_csv_folders_of_odd_tickers_come_back(spark, tmp_path):
     rows = [("A/B", "2020-01-02", 1.5, 2.0, 1.0, 9.0, 1.25, 10), ("BRK.B", "2020-01-03", 1.5, 2.0, 1.0, 9.0, 1.75, 20), ("x y%", "2020-01-03", 1.0, 1.0, 1.0, 1.0, -1.0, 5)]
     raw = spark.createDataFrame(rows, "ticker string, Date string, Open double, High double, Low double, Close double, `Adj Close` double, Volume long")
