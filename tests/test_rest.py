@@ -204,6 +204,22 @@ def test_cleaned_correlations_of_many_tickers(spark, many):
     assert np.abs(got.column("corr").to_numpy() - risk.clean_correlation_matrix(corr, 12)[i, j]).max() < 1e-8
 
 
+def test_communities_of_many_tickers(spark, many):
+    table, corr = many
+    member = {r["ticker"]: r["community"] for r in risk.communities(spark.createDataFrame(table), "x").collect()}
+    got = [member[f"t{t:04}"] for t in range(2100)]
+    assert got == risk.louvain_clustering(corr) and 3 <= len(set(got)) < 20
+
+
+def test_communities_by_kept_links_are_those_by_weights():
+    rng = np.random.default_rng(4)
+    weight = np.clip(np.corrcoef(rng.normal(size=(300, 40))), 0, None)
+    np.fill_diagonal(weight, 0)
+    for resolution in (0.5, 1.0, 2.0):
+        kept = risk._louvain(lambda: iter([(0, weight[:100]), (100, weight[100:])]), 300, resolution, lambda k: weight[k])
+        assert kept == risk.louvain_clustering(weight, resolution)
+
+
 def test_csv_folders_of_odd_tickers_come_back(spark, tmp_path):
     rows = [("A/B", "2020-01-02", 1.5, 2.0, 1.0, 9.0, 1.25, 10), ("BRK.B", "2020-01-03", 1.5, 2.0, 1.0, 9.0, 1.75, 20), ("x y%", "2020-01-03", 1.0, 1.0, 1.0, 1.0, -1.0, 5)]
     raw = spark.createDataFrame(rows, "ticker string, Date string, Open double, High double, Low double, Close double, `Adj Close` double, Volume long")
