@@ -220,6 +220,40 @@ def test_communities_by_kept_links_are_those_by_weights():
         assert kept == risk.louvain_clustering(weight, resolution)
 
 
+def test_communities_make_few_rows_anew(many):
+    """Rows of weights that are made one list at a time: not one by one for each move, and the same communities."""
+    weight = np.clip(many[1], 0, None) * (np.random.default_rng(2).random((2100, 2100)) < 0.5)
+    weight = np.maximum(weight, weight.T)
+    np.fill_diagonal(weight, 0)
+    asked = []
+
+    def row(k):
+        asked.append(np.size(k))
+        return weight[k]
+
+    kept = risk._louvain(lambda: iter([(0, weight)]), 2100, 1.0, row, lambda some, block: weight[some, block])
+    assert kept == risk.louvain_clustering(weight) and sum(asked) > 4 * len(asked)
+
+
+def test_correlations_by_masks_equal_those_by_pairs():
+    """Sums over common dates are made once for each list of dates; a series whose variance is in one date that others miss is made anew."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 12))
+    x[10:30, 3], x[20:40, [0, 5]], x[40:44, 2:11] = np.nan, np.nan, np.nan
+    x[44], x[45, :11], x[46, 3] = 0.1, 0.1, 1e9
+    for a, b in ((slice(0, 60), slice(0, 60)), (slice(0, 10), slice(10, 60)), (slice(50, 60), slice(0, 10))):
+        side = risk._Side(x)
+        for u, v in ((side.cut(a), side.cut(b)), (risk._Side(x[a]), risk._Side(x[b]))):
+            got = risk._correlations(u, v)
+            for i, j in np.ndindex(got.shape):
+                known = np.isfinite(x[a][i]) & np.isfinite(x[b][j])
+                p, q = x[a][i][known], x[b][j][known]
+                if known.sum() < 2 or np.ptp(p) == 0 or np.ptp(q) == 0:
+                    assert np.isnan(got[i, j])
+                else:
+                    assert got[i, j] == pytest.approx(np.corrcoef(p, q)[0, 1], abs=1e-7)
+
+
 def test_csv_folders_of_odd_tickers_come_back(spark, tmp_path):
     rows = [("A/B", "2020-01-02", 1.5, 2.0, 1.0, 9.0, 1.25, 10), ("BRK.B", "2020-01-03", 1.5, 2.0, 1.0, 9.0, 1.75, 20), ("x y%", "2020-01-03", 1.0, 1.0, 1.0, 1.0, -1.0, 5)]
     raw = spark.createDataFrame(rows, "ticker string, Date string, Open double, High double, Low double, Close double, `Adj Close` double, Volume long")
